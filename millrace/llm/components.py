@@ -26,7 +26,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """(a, b) links of one comparable type -> (node, root): each linked node with the least node it can reach.
+    """(a, b) links of one comparable type -> (node, root): each linked node with the least node it can reach, but for these themselves.
 
     Nodes without links are absent; self-links, repeated links and either direction are
     allowed. A star's centre is found by a grouped minimum, so no task needs all neighbours of

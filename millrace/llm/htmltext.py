@@ -160,6 +160,13 @@ PAGES: tuple[tuple[tuple[int, str], ...], ...] = (
     ((0, f"<div>{_w(2)}</div>"), (0, f"<ul>{_links(3, 3, 4, 2)}</ul>"), (1, f"<div>{_w(120)}</div>"), (1, f"<div>{_w(24)}</div>"), (1, f"<div>{_w(90)}</div>"), (0, f'<div class="sidebar"><p>{_w(50)}</p>{_links(5, 5)}</div>'), (0, f"<div>{_w(4)} <a>{_w(4)}</a></div>")),
     ((0, f'<div role="banner">{_w(6)}</div>'), (1, f"<h1>{_w(11)}</h1>"), (1, f"<p>{_w(45)}</p>"), (0, f'<p class="advert">{_w(30)}</p>'), (1, f"<p>{_w(66)}</p>"), (0, f'<div class="related"><h3>{_w(2)}</h3>{_links(8, 9, 7)}</div>'), (0, f'<div class="comment">{_w(44)}</div>'), (0, f'<div class="comment">{_w(9)}</div>')),
     ((0, f"<header>{_w(30)}</header>"), (0, f"<div>{_w(2)} <a>{_w(8)}</a></div>"), (1, f"<article><p>{_w(8)}</p>"), (0, f'<div class="share">{_w(5)}</div>'), (1, f"<p>{_w(20)}</p>"), (0, f'<p class="notice">{_w(35)}</p>'), (1, f"<p>{_w(3)}</p></article>"), (0, f"<div>{_w(4)}</div>"), (0, f'<div role="contentinfo">{_w(10)}</div>')),
+    ((0, f"<nav>{_links(1, 1, 1)}</nav>"), (1, f"<article><h1>{_w(2)}</h1>"), (1, f"<p>{_w(2)}</p>"), (1, f"<p>{_w(31)}</p>"), (1, f"<p>{_w(1)}</p>"), (1, f"<p>{_w(3)}</p>"), (1, f"<p><a>{_w(4)}</a></p>"), (1, f"<p><a>{_w(1)}</a></p>"), (1, f"<p>{_w(200)}</p>"), (1, f"<p>{_w(5)}</p></article>"), (0, f"<footer>{_w(7)}</footer>")),
+    ((1, f"<article><p>{_w(1)}</p>"), (1, f"<p>{_w(1)}</p>"), (1, f"<p><a>{_w(20)}</a></p>"), (1, f"<p>{_w(6)} <a>{_w(9)}</a></p>"), (1, f"<ul>{_links(1, 2, 6)}</ul>"), (1, f"<p>{_w(4)}</p>"), (0, f'<div class="ad">{_w(3)}</div>'), (1, f"<p>{_w(2)}</p></article>"), (0, f"<aside>{_w(60)}</aside>"), (0, f"<footer>{_w(3)}</footer>")),
+    ((0, f"<div><a>{_w(16)}</a> <a>{_w(20)}</a></div>"), (0, f"<div><a>{_w(25)}</a></div>"), (1, f"<h1>{_w(4)}</h1>"), (1, f"<p>{_w(60)}</p>"), (1, f"<p>{_w(5)}</p>"), (1, f"<p>{_w(80)}</p>"), (1, f"<p>{_w(3)}</p>"), (1, f"<p>{_w(50)}</p>"), (1, f"<p>{_w(7)}</p>"), (1, f"<p>{_w(44)}</p>"), (0, f"<div><a>{_w(18)}</a> {_w(3)} <a>{_w(30)}</a></div>"), (0, f"<div>{_w(9)}</div>")),
+    ((1, f"<h1>{_w(6)}</h1>"), (1, f"<p>{_w(30)}</p>"), (1, f"<p>{_w(70)}</p>")),
+    ((1, f"<p>{_w(25)}</p>"), (1, f"<p>{_w(6)}</p>"), (1, f"<p>{_w(120)}</p>"), (0, f"<div>{_w(2)}</div>")),
+    ((1, f"<p>{_w(40)}</p>"),),
+    ((0, f"<header>{_w(1)}</header>"), (1, f"<main><h1>{_w(3)}</h1>"), (1, f"<p>{_w(1)} <a>{_w(2)}</a></p>"), (1, f"<h2>{_w(1)}</h2>"), (1, f"<p>{_w(2)}</p>"), (1, f"<h2><a>{_w(2)}</a></h2>"), (1, f"<p>{_w(9)}</p></main>")),
     ((0, f"<div><a>{_w(1)}</a></div>"), (0, f"<div>{_w(1)}</div>"), (1, f"<p>{_w(30)}</p>"), (0, f"<div><a>{_w(12)}</a></div>"), (0, f"<div><a>{_w(10)}</a></div>"), (0, f"<div>{_w(5)}</div>")),
 )
 
@@ -192,7 +199,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
     if best is None:
         return int(2 * y.sum() > len(y))
     _, f, t, left = best
-    return f, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    below, above = grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    return below if below == above and isinstance(below, int) else (f, t, below, above)
 
 
 @lru_cache(1)

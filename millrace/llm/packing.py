@@ -19,26 +19,66 @@ GROUP_DOCS = 50_000
 class _WordIds(dict):
     """White-space-delimited word (UTF-8) -> its ids as little-endian 32-bit numbers.
 
-    Exact for a tokenizer that drops white space and never joins what it separates; words
-    not seen yet are encoded one by one. Emptied when it grows beyond its bound.
+    Exact for a tokenizer that lower-cases, drops white space and never joins what it separates,
+    and that parts letters from the punctuation behind them. The words of a batch that are not known
+    yet are encoded in one string, parted by a mark. Emptied when it grows beyond its bound.
     """
 
-    def __init__(self, file: str, bound: int = 500_000):
+    TAIL, MARK, SPECIAL = b".,;:!?|#$%&*()", "\0", b"<|"
+
+    def __init__(self, file: str, bound: int = 1_500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.bound = Tokenizer.from_file(file), bound
-
-    def __missing__(self, word: bytes) -> bytes:
-        value = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def ids(self, text: str | None) -> bytes:
-        if len(self) > self.bound:
-            self.clear()
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+        self.mark = self._encode(self.MARK)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _core(self, word: bytes) -> bytes:
+        """The word without punctuation behind its last letter; itself if it doesn't end so."""
+        core = word.rstrip(self.TAIL)
+        if not core or core == word:
+            return word
+        last = core[-1]
+        return core if 97 <= last <= 122 or last >= 128 and core.decode("utf-8")[-1].isalpha() else word
+
+    def _learn(self, words: set[bytes]) -> None:
+        cores = {w: c for w in words if (c := self._core(w)) != w}
+        need = [w for w in {*(words - cores.keys()), *cores.values(), *(w[len(c) :] for w, c in cores.items())} if w not in self]
+        text = {w: w.decode("utf-8") for w in need}
+        letters = [w for w in need if text[w].isalpha()]  # one unit each, so that their last ids part them
+        others = [w for w in need if not text[w].isalpha() and b"\0" not in w and self.SPECIAL not in w] if len(self.mark) == 1 else []
+        for own, mark, kind in ((letters, " ", self.last), (others, f" {self.MARK} ", None)):
+            for i in range(0, len(own), 20_000):
+                part = own[i : i + 20_000]
+                ids = np.array(self._encode(mark.join(map(text.__getitem__, part))), "<u4")
+                ends = (np.flatnonzero(kind[ids]) + 1).tolist() if kind is not None else [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+                data, start = ids.tobytes(), 0
+                for w, end in zip(part, ends, strict=True):
+                    self[w] = data[4 * start : 4 * end]
+                    start = end + (kind is None)
+        for w in need:
+            if w not in self:
+                self[w] = np.array(self._encode(text[w]), "<u4").tobytes()
+        for w, core in cores.items():
+            self[w] = self[core] + self[w[len(core) :]]
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        for i in range(0, len(texts), 2000):
+            if len(self) > self.bound:
+                self.clear()
+            split = []
+            for text in texts[i : i + 2000]:
+                data = (text or "").encode("utf-8", "replace")
+                split.append((data if self.SPECIAL in data else data.lower()).split())
+            self._learn(set().union(*split) - self.keys())
+            for words in split:
+                yield b"".join(map(self.__getitem__, words))
 
 
 @lru_cache(2)
@@ -64,8 +104,8 @@ def pieces(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_i
         words = _word_ids(file or tokenizer_file())
         for b in batches:
             doc, piece, start, size, crc = [], [], [], [], []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = words.ids(text) + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.ids(b.column("text").to_pylist()), strict=True):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     doc.append(doc_id)

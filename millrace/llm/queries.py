@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, minhash, packing, simhash, urlfilter
+from . import htmltext, linededup, lm, minhash, packing, pieces, simhash, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -32,7 +32,36 @@ def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return got.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed", F.size("removed").alias("n_removed"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext)
+    f.__name__: f
+    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, pipeline)
 }
 ORACLES: dict[str, str] = {"op3_urlfilter": urlfilter.oracle()}

@@ -83,7 +83,7 @@ def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = plain_components(sorted(set(itertools.chain(*links))), links)
-    assert got == want
+    assert got == {i: r for i, r in want.items() if i != r}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -205,4 +205,4 @@ def test_line_dedup_of_nulls_repeats_and_nothing(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
     line = " ".join(["x"] * 55)
     got = linededup.dedup_lines(frame(spark, [line, line, line, None], [7, 7, None, 8])).collect()
-    assert sorted((r["doc_id"] or -1, r["text"] or "-") for r in got) == [(-1, line), (7, ""), (7, ""), (8, "-")]
+    assert sorted((r["doc_id"] or -1, "-" if r["text"] is None else r["text"]) for r in got) == [(-1, line), (7, ""), (7, ""), (8, "-")]

@@ -136,7 +136,7 @@ def corpus(seed, n=150):
     for i in range(n):
         w, t = rng.randrange(200), []
         for _ in range(rng.randrange(60)):
-            w = rng.choice(chain[w]) if rng.random() < 0.8 else rng.randrange(250)
+            w = rng.choice(chain[w % 200]) if rng.random() < 0.8 else rng.randrange(250)
             t.append(f"W{w}")
         rows.append((i, " ".join(t)))
     return rows + [(None, "w1 w2"), (7, None), (3, rows[3][1]), (10_000, "entirely new words é")]
