@@ -19,6 +19,7 @@ document's words and bigrams are joined with the counted tables instead.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from .common import U64, keep, mix, word_chunks
 
 ALPHA, MIXED = 0.1, 0.3
 #: N-grams of a block, in expectation; tokens a task counts before it sends; bits and probes of the filter by entry.
-BLOCK_ITEMS, FLUSH, BITS, PROBES = 1 << 17, 4_000_000, 9.0, 6
+BLOCK_ITEMS, FLUSH, BITS, PROBES = 1 << 17, 2_500_000, 7.2, 5
+#: Words whose hashes a task remembers while it scores.
+REMEMBERED = 250_000
 #: Bytes of vocabulary and filter that are broadcast at most; beyond, the tables are joined.
 BROADCAST_BYTES = 256 << 20
 #: Hash of the end of a text, which also stands before its first word. No word has a line break.
@@ -45,7 +48,7 @@ class _Ids(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.hashes: list[int] = []
+        self.hashes = array("Q")
         self.reset()
 
     def __missing__(self, word: bytes) -> int:
@@ -55,7 +58,7 @@ class _Ids(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.hashes[:] = []
+        self.hashes = array("Q")
         self[b"\n"] = 0
         self.hashes.append(END)
 
@@ -68,12 +71,12 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def _token_chunks(text: str | None, ids: _Ids) -> Iterator[np.ndarray]:
     """A text's tokens as numbers, in chunks that start with the token before (first the end mark); the last ends with the end mark."""
-    last = np.zeros(1, np.int64)
+    last = np.zeros(1, np.int32)
     for words in word_chunks(text):
-        own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        own = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
         yield np.concatenate([last, own])
         last = own[-1:] if len(own) else last
-    yield np.concatenate([last, np.zeros(1, np.int64)])
+    yield np.concatenate([last, np.zeros(1, np.int32)])
 
 
 def _packed(kind: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
@@ -156,14 +159,16 @@ def counted(docs: DataFrame, bits: int) -> DataFrame:
 class Model:
     """Vocabulary and filter as arrays, as they are sent to the tasks."""
 
-    def __init__(self, blocks: list[tuple], bits: int):
-        words = sorted(x for x in blocks if x[0] == 1)
-        pairs = {x[1]: x[4] for x in blocks if x[0] == 2}
+    def __init__(self, words: pa.Table, pairs: pa.Table, bits: int):
+        """Of (block, keys, counts) and (block, filter), each sorted by block."""
         self.bits = bits
-        self.hashes = np.concatenate([np.frombuffer(x[2], U64) for x in words]) if words else np.zeros(0, U64)
-        self.counts = np.concatenate([np.frombuffer(x[3], np.int64) for x in words]) if words else np.zeros(0, np.int64)
-        parts = [pairs.get(i, b"") for i in range(1 << bits)]
-        self.sizes = np.array([8 * len(x) for x in parts], np.int64)
+        self.hashes = np.frombuffer(b"".join(words.column("keys").to_pylist()), U64)
+        counts = [np.frombuffer(x, np.int64) for x in words.column("counts").to_pylist()]
+        small = max((int(c.max()) for c in counts), default=0) < 1 << 32
+        self.counts = np.concatenate([c.astype(np.uint32) if small else c for c in counts]) if counts else np.zeros(0, np.int64)
+        self.sizes = np.zeros(1 << bits, np.int64)
+        parts = pairs.column("filter").to_pylist()
+        self.sizes[np.array(pairs.column("block").to_pylist(), np.int64)] = [8 * len(x) for x in parts]
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.filter = np.frombuffer(b"".join(parts), np.uint8)
 
@@ -171,7 +176,7 @@ class Model:
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.counts[at], 0)
+        return np.where(self.hashes[at] == hashes, self.counts[at], 0).astype(np.int64)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Levels of bigrams, by probing the filter upwards until a level is missing."""
@@ -218,17 +223,15 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
     tokens, types = tokens or 0, types or 0
     if (size or 0) > broadcast_bytes:
         return _score_joined(docs, blocks, bits, tokens, types, mixed)
-    rows = blocks.select("kind", "block", F.when(F.col("kind") == 1, F.col("keys")).alias("keys"), F.when(F.col("kind") == 1, F.col("counts")).alias("counts"), "filter").toArrow()
-    sent = spark.sparkContext.broadcast(Model(list(zip(*(c.to_pylist() for c in rows.columns))), bits))
-    del rows
+    words = blocks.where("kind = 1").select("block", "keys", "counts").orderBy("block").toArrow()
+    pairs = blocks.where("kind = 2").select("block", "filter").orderBy("block").toArrow()
+    sent = spark.sparkContext.broadcast(Model(words, pairs, bits))
+    del words, pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = sent.value, _Ids()
         table, known = np.zeros(0, U64), np.zeros(0, np.int64)
         for b in batches:
-            if len(ids) > 1_000_000:
-                ids.reset()
-                table, known = np.zeros(0, U64), np.zeros(0, np.int64)
             chunks, owner = [], []
             out = np.zeros((b.num_rows, 4))
 
@@ -248,6 +251,9 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                     out[:, i] += np.bincount(row, x, len(out))
                 chunks.clear()
                 owner.clear()
+                if len(ids) > REMEMBERED:
+                    ids.reset()
+                    table, known = np.zeros(0, U64), np.zeros(0, np.int64)
 
             n = 0
             for i, text in enumerate(b.column("text").to_pylist()):
