@@ -251,9 +251,6 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                     out[:, i] += np.bincount(row, x, len(out))
                 chunks.clear()
                 owner.clear()
-                if len(ids) > REMEMBERED:
-                    ids.reset()
-                    table, known = np.zeros(0, U64), np.zeros(0, np.int64)
 
             n = 0
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -264,6 +261,12 @@ def score(docs: DataFrame, held_out: str = "pmod(crc32(cast(doc_id as string)),
                     if n > 500_000:
                         settle()
                         n = 0
+                if len(ids) > REMEMBERED:  # not within a text, whose chunks share numbers
+                    if chunks:
+                        settle()
+                        n = 0
+                    ids.reset()
+                    table, known = np.zeros(0, U64), np.zeros(0, np.int64)
             if chunks:
                 settle()
             yield pa.RecordBatch.from_arrays(

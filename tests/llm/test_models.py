@@ -123,6 +123,14 @@ def test_scores_equal_exact_counts_but_for_the_filter(spark, limit):
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
+def test_scores_don_t_depend_on_what_a_task_remembers(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(2), "doc_id long, text string").coalesce(1)
+    read = lambda: sorted((r["doc_id"] or -1, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs).collect())
+    want = read()
+    monkeypatch.setattr(lm, "REMEMBERED", 20)
+    assert read() == want
+
+
 def test_scores_of_nothing_and_long_texts(spark, monkeypatch):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs).count() == 0
