@@ -20,8 +20,9 @@ class _WordIds(dict):
     """White-space-delimited word (UTF-8) -> its ids as little-endian 32-bit numbers.
 
     Exact for a tokenizer that lower-cases, drops white space and never joins what it separates,
-    and that parts letters from the punctuation behind them. The words of a batch that are not known
-    yet are encoded in one string, parted by a mark. Emptied when it grows beyond its bound.
+    and that parts letters from the punctuation behind them. The words that are not known yet are
+    encoded in one string: words of letters are parted by their last ids, others by a mark.
+    Emptied when it grows beyond its bound.
     """
 
     TAIL, MARK, SPECIAL = b".,;:!?|#$%&*()", "\0", b"<|"
