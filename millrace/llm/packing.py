@@ -16,21 +16,22 @@ LENGTH, END_ID = 4096, 1
 GROUP_DOCS = 50_000
 
 
-class _WordIds(dict):
-    """White-space-delimited word (UTF-8) -> its ids as little-endian 32-bit numbers.
+class _WordIds:
+    """White-space-delimited words (UTF-8) and their ids as little-endian 32-bit numbers.
 
     Exact for a tokenizer that lower-cases, drops white space and never joins what it separates,
     and that parts letters from the punctuation behind them. The words that are not known yet are
     encoded in one string: words of letters are parted by their last ids, others by a mark.
-    Emptied when it grows beyond its bound.
+    What was not met since the last but one time that `bound` words had come together is forgotten.
     """
 
     TAIL, MARK, SPECIAL = b".,;:!?|#$%&*()", "\0", b"<|"
 
-    def __init__(self, file: str, bound: int = 1_500_000):
+    def __init__(self, file: str, bound: int = 250_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.tokenizer, self.bound = Tokenizer.from_file(file), bound
         self.mark = self._encode(self.MARK)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -48,8 +49,13 @@ class _WordIds(dict):
         return core if 97 <= last <= 122 or last >= 128 and core.decode("utf-8")[-1].isalpha() else word
 
     def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if self.before:
+            met = words & self.before.keys()
+            known.update(zip(met, map(self.before.__getitem__, met), strict=True))
+            words -= met
         cores = {w: c for w in words if (c := self._core(w)) != w}
-        need = [w for w in {*(words - cores.keys()), *cores.values(), *(w[len(c) :] for w, c in cores.items())} if w not in self]
+        need = [w for w in {*(words - cores.keys()), *cores.values(), *(w[len(c) :] for w, c in cores.items())} if w not in known]
         text = {w: w.decode("utf-8") for w in need}
         letters = [w for w in need if text[w].isalpha()]  # one unit each, so that their last ids part them
         others = [w for w in need if not text[w].isalpha() and b"\0" not in w and self.SPECIAL not in w] if len(self.mark) == 1 else []
@@ -60,26 +66,25 @@ class _WordIds(dict):
                 ends = (np.flatnonzero(kind[ids]) + 1).tolist() if kind is not None else [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
                 data, start = ids.tobytes(), 0
                 for w, end in zip(part, ends, strict=True):
-                    self[w] = data[4 * start : 4 * end]
+                    known[w] = data[4 * start : 4 * end]
                     start = end + (kind is None)
         for w in need:
-            if w not in self:
-                self[w] = np.array(self._encode(text[w]), "<u4").tobytes()
+            if w not in known:
+                known[w] = np.array(self._encode(text[w]), "<u4").tobytes()
         for w, core in cores.items():
-            self[w] = self[core] + self[w[len(core) :]]
+            known[w] = known[core] + known[w[len(core) :]]
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        for i in range(0, len(texts), 2000):
-            if len(self) > self.bound:
-                self.clear()
-            split = []
-            for text in texts[i : i + 2000]:
-                data = (text or "").encode("utf-8", "replace")
-                split.append((data if self.SPECIAL in data else data.lower()).split())
-            self._learn(set().union(*split) - self.keys())
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+        split = []
+        for text in texts:
+            data = (text or "").encode("utf-8", "replace")
+            split.append((data if self.SPECIAL in data else data.lower()).split())
+        self._learn(set().union(*split) - self.known.keys())
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.known) > self.bound:
+            self.known, self.before = {}, self.known
+        return out
 
 
 @lru_cache(2)
@@ -103,7 +108,7 @@ def pieces(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(file or tokenizer_file())
-        for b in batches:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             doc, piece, start, size, crc = [], [], [], [], []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.ids(b.column("text").to_pylist()), strict=True):
                 ids += end
