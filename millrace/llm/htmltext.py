@@ -30,9 +30,13 @@ VOID = frozenset("br hr img input meta link area base col embed source track wbr
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset legend option".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-BOILER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footnav gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split())
+#: Boilerplate also as inline elements.
+AD_WORDS = frozenset("ad ads adv advert advertisement adslot adunit adsbygoogle promo sponsored".split())
+BOILER_WORDS = AD_WORDS | frozenset("alert alerts announcement discussion megamenu responses sidenav snackbar subnav toast topnav advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 #: Of these a part alone is enough, and an article inside doesn't lift it.
 FIRM = re.compile(r"comment|advert|sponsor|cookie|related|disqus|replies|respond|newsletter")
+#: Whole class or id names of what holds the article.
+CONTENT = re.compile(r"(?:article|content|entry|main|post|story|main[-_]?content|(?:article|entry|page|post|story)[-_]?(?:body|content|text))")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "heading")
 
 
@@ -53,6 +57,15 @@ def _boiler(tag: str, attrs: str) -> int:
     return found
 
 
+def _content(attrs: str) -> bool:
+    """Whether a class or id says that the article is inside."""
+    return any(CONTENT.fullmatch(name) for values in ATTRIBUTE.findall(attrs) for name in "".join(values).lower().split())
+
+
+def _advert(attrs: str) -> bool:
+    return any(not AD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", "".join(values).lower())) for values in ATTRIBUTE.findall(attrs))
+
+
 class _Blocks:
     """Collects text blocks of one page."""
 
@@ -62,9 +75,10 @@ class _Blocks:
         self.parts: list[str] = []
         self.link_parts: list[str] = []
         self.link, self.heading = False, 0
+        self.skip: tuple[str, int] | None = None  # an inline advert that is open, and its depth
 
     def text(self, raw: str) -> None:
-        if raw:
+        if raw and self.skip is None:
             self.parts.append(raw)
             if self.link:
                 self.link_parts.append(raw)
@@ -93,6 +107,8 @@ class _Blocks:
         own = _boiler(tag, attrs)
         if tag in ("article", "main") and boiler < 2 and own < 2:
             boiler, article = 0, 1
+        elif attrs and not own and not boiler and _content(attrs):
+            article = 1
         elif tag == "header" and article and own:
             pass  # an article's own head
         else:
@@ -100,6 +116,15 @@ class _Blocks:
         stack.append((tag, boiler, article))
         self.heading = int(tag in LEAVES and tag != "p")
 
+    def inline(self, tag: str, end: str, attrs: str) -> None:
+        """Text of inline adverts is left out, to their end or that of their block."""
+        if self.skip is not None:
+            if tag == self.skip[0]:
+                depth = self.skip[1] + (-1 if end else 1)
+                self.skip = (tag, depth) if depth else None
+        elif attrs and not end and tag not in VOID and _advert(attrs):
+            self.skip = (tag, 1)
+
     def close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
@@ -121,10 +146,13 @@ def blocks(page: str | None) -> list[list]:
         tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
         if tag == "br":
             b.text(" ")
-        elif tag == "a":
-            b.link = not end
-        elif tag in BLOCKS:
+        elif tag not in BLOCKS:
+            if tag == "a":
+                b.link = not end
+            b.inline(tag, end, attrs)
+        else:
             b.flush()
+            b.skip = None
             if end:
                 b.close(tag)
                 if tag in ("nav", "ul", "ol", "article", "footer"):

@@ -121,6 +121,11 @@ def test_pages_without_an_article_are_judged_by_words_and_links():
     assert htmltext.main_text(page) == f"{body} one\n\n{body} two\n\n{body} three"
 
 
+def test_containers_are_told_by_their_names():
+    page = '<body><div class="topnav">a b</div><div id="content"><h2>T</h2><p>Short.</p><p>x <span class="ad">buy <span>now</span></span> y</p><p class="byline">By me</p><div class="alert">no</div></div><div class="reader-comments">text text text</div></body>'
+    assert htmltext.main_text(page) == "T\n\nShort.\n\nx y\n\nBy me"
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!--", "<script>", "</p></div>", "<p title='>x", "<<p>>", "&#x110000;&bogus;", "<![CDATA[", "\x00<p>\x00"])
 def test_broken_markup_does_not_crash(page):
     assert isinstance(htmltext.main_text(page), str)
