@@ -32,7 +32,7 @@ PLACE = ["o", "th"]
 
 def _placed(docs: DataFrame) -> DataFrame:
     """docs with the order of a document (o; null ids first) and the hash of its text (th): equal pairs are repeated rows."""
-    return docs.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64("text")})
+    return docs.withColumns({"__order": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
@@ -49,11 +49,11 @@ def line_ids(docs: DataFrame) -> DataFrame:
                 words += [len(x.split()) for x in own]
             at = pa.array(np.array(doc, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_o").take(at), b.column("_th").take(at), pa.array(number, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(words, pa.int32())],
+                [b.column("__order").take(at), b.column("__hash").take(at), pa.array(number, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(words, pa.int32())],
                 names=["o", "th", "i", "id", "w"],
             )
 
-    return _placed(docs).select("_o", "_th", "text").mapInArrow(run, "o long, th long, i int, id long, w int")
+    return _placed(docs).select("__order", "__hash", "text").mapInArrow(run, "o long, th long, i int, id long, w int")
 
 
 def shortest_parts(lines: DataFrame, min_words: int) -> DataFrame:
@@ -129,24 +129,25 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("o", "th", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
-    """docs with later copies of repeated line runs deleted from text, and a column `removed` with the numbers of the deleted lines.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False, report: str | None = "removed") -> DataFrame:
+    """docs with later copies of repeated line runs deleted from text, and a column `report` with the numbers of the deleted lines.
 
     Lines end at line breaks and are compared without the white space around them; lines without words
     are not counted as lines of a run and stay. The first occurrence, in the order of doc_id
     (nulls first), then of text hash and line, stays; a run may repeat within a document.
     A column n_chars follows the text. Rows that are equal in doc_id and text are one document here,
     and stay equal. Null texts stay null. With `drop_emptied`, documents that
-    lose all their words are left out. Other columns stay; an empty table gives an empty one.
+    lose all their words are left out. Other columns stay, but for one named as the report; an empty
+    table gives an empty one.
     """
-    gone = later_copies(docs, min_words).select(F.col("o").alias("_o"), F.col("th").alias("_th"), F.col("lines").alias("removed"))
-    joined = _placed(docs).join(gone, ["_o", "_th"], "left").drop("_o", "_th")
-    joined = joined.select(*docs.columns, F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    gone = later_copies(docs, min_words).select(F.col("o").alias("__order"), F.col("th").alias("__hash"), F.col("lines").alias("__gone"))
+    joined = _placed(docs).join(gone, ["__order", "__hash"], "left")
+    joined = joined.select(*docs.columns, F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"))
     place, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed = b.column("removed")
+            removed = b.column("__gone")
             lengths = np.asarray(removed.value_lengths())
             if not lengths.any():
                 yield b
@@ -171,4 +172,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
                 cols[counted] = pa.array(fresh, kind)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(stay))
 
-    return joined.mapInArrow(run, joined.schema)
+    out = joined.mapInArrow(run, joined.schema)
+    return out.drop("__gone") if report is None else out.withColumn(report, F.col("__gone")).drop("__gone")

@@ -54,15 +54,17 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp): one row per row, fp as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, carried columns, fp): one row per row, fp as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, k, seed) for t in b.column("text").to_pylist()), U64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            names = ["doc_id", *carry]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in ("doc_id", *carry))
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"{kinds}, fp long")
 
 
 @lru_cache(1)
@@ -207,28 +209,31 @@ def links(distinct: DataFrame, count: int, bits: int = MAX_BITS) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp, component_id), a row per row.
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED, bits: int = MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, carried columns, fp, component_id), a row per row.
 
     component_id is the smallest doc_id that links reach, itself included; links join
     fingerprints that differ in at most `bits` bits, equal ones too. Texts without words
     have fingerprint zero and link like any other. Null texts count as empty. Rows with a null
     doc_id take part, but give no id: a component of such rows alone has a null id. Repeated
-    rows stay. Columns other than doc_id and text are not read. An empty table gives an empty one.
+    rows stay. Columns other than doc_id, text and the carried are not read. An empty table gives an empty one.
     """
-    fps = keep(fingerprints(docs, k, seed), "fps")
+    fps = keep(fingerprints(docs, k, seed, carry), "fps")
     distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = components(links(distinct, distinct.count(), bits), "simhash")
     owned = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = owned.join(least, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes, "fp").select("doc_id", *carry, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SEED, bits: int = MAX_BITS) -> DataFrame:
     """docs without the rows whose doc_id is not their component's smallest; all columns stay.
 
-    Of repeated rows with the smallest doc_id all stay; rows with a null doc_id stay.
+    Rows are told apart by doc_id and text: of rows that share an id each is judged by its own text,
+    repeated rows with the smallest doc_id all stay, and so do rows with a null doc_id.
     """
-    gone = near_duplicates(docs, k, seed, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    gone = near_duplicates(hashed, k, seed, bits, ("__hash",)).where("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")).distinct()
+    return hashed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_anti").drop("__hash")

@@ -112,6 +112,8 @@ def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     clash = frame(spark, ["x y z w", "x y z w"]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS root", "4 AS node")
     assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(clash).collect()} == {(0, 0), (1, 0)}
     assert simhash.drop_near_duplicates(clash).columns == clash.columns
+    shared = simhash.drop_near_duplicates(frame(spark, ["x y z w", "x y z  w", "other words stay here"], [1, 5, 5]))
+    assert sorted((r["doc_id"], r["text"]) for r in shared.collect()) == [(1, "x y z w"), (5, "other words stay here")]
 
 
 def jaccard(a, b):
@@ -201,6 +203,13 @@ def test_line_dedup_edits_texts_and_counts(spark):
     assert (got[3]["text"], got[3]["removed"], got[3]["o"]) == (texts[3], [], 1)
 
 
+def test_line_dedup_keeps_columns_with_its_own_names(spark):
+    line = " ".join(["x"] * 55)
+    docs = frame(spark, [line, line]).selectExpr("*", "'mine' AS removed", "7 AS i", "8 AS id", "9 AS w", "1 AS r", "2 AS s", "3 AS first")
+    got = linededup.dedup_lines(docs, report=None)
+    assert got.columns == docs.columns and [(r["text"], r["removed"]) for r in got.orderBy("doc_id").collect()] == [(line, "mine"), ("", "mine")]
+
+
 def test_line_dedup_of_nulls_repeats_and_nothing(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
     line = " ".join(["x"] * 55)
