@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words (runs of letters, lower-cased) and their beginnings of four to six
+Features are words (runs of letters, lower-cased) and their beginnings of four to eight
 letters. From a bounded sample of labelled rows those are kept that mark distinct lines of
 toxic documents (a line that several documents share counts once, and as clean if any of
 them is). Inverse document frequencies are counted over all documents. The sample's documents that have
@@ -26,10 +26,10 @@ from .common import keep
 
 #: Labelled rows that are learned from at most (those with the smallest hash of doc_id); all of the corpus is counted and scored.
 SAMPLE_ROWS = 16_384
-NEAREST, REJECT, PULL = 15, 0.7, 0.3
+NEAREST, REJECT, PULL = 15, 0.7, 0.7
 #: A feature marks toxic lines if this many have it, with this likelihood ratio, and this many times the share of clean lines.
-LEAST_LINES, LEAST_RATIO, LEAST_LIFT = 5, 20.0, 8.0
-BEGINNINGS, INDEX_BLOCK = (4, 5, 6), 64
+LEAST_LINES, LEAST_RATIO, LEAST_LIFT = 6, 30.0, 8.0
+BEGINNINGS, INDEX_BLOCK = (4, 5, 6, 7, 8), 64
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
