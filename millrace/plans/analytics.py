@@ -183,7 +183,7 @@ def registered_domain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<[^>]*>', ' ', 'g') AS h FROM pages)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[\\s\\x{00a0}\\x{200b}\\x{200c}\\x{200d}\\x{feff}]+', ' ', 'g')) AS text FROM t"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '[\\s\\x{00a0}\\x{200b}\\x{200c}\\x{200d}\\x{feff}]+', ' ', 'g')) AS text FROM t"""
 )
 def strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_html("html").alias("text"))
