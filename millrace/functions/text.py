@@ -69,7 +69,7 @@ def tokenize(c: Column | str) -> Column:
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(TOKEN), F.lit(1))
     kept = F.filter(found, lambda t: ~t.isin(*STOPWORDS))
-    return F.filter(F.transform(kept, lambda t: F.regexp_replace(t, r"^[.\-]+|[.\-]+$", "")), lambda t: F.length(t) > 1)
+    return F.filter(F.transform(kept, lambda t: F.btrim(t, F.lit(".-"))), lambda t: F.length(t) > 1)
 
 
 def strip_html(c: Column | str) -> Column:

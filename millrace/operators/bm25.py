@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .store import keep
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -29,12 +30,18 @@ class Index:
     TABLES = ("postings", "lengths", "terms", "corpus")
 
 
-def build(docs: DataFrame, text: str = "text") -> Index:
-    """Index of (doc_id, text, [type]). Documents whose text is blank are left out; those without tokens count in n and the mean length."""
+def build(docs: DataFrame, text: str = "text", written: bool = False) -> Index:
+    """Index of (doc_id, text, [type]). Documents whose text is blank are left out; those without tokens count in n and the mean length.
+
+    `written`: postings and lengths are stored first, for an index that serves many queries;
+    for a single query, reused exchanges are cheaper.
+    """
     kept = [c for c in ("type",) if c in docs.columns]
     tokens = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select("doc_id", *kept, tokenize(text).alias("tokens"))
     lengths = tokens.select("doc_id", *kept, F.size("tokens").alias("length"))
     postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    if written:
+        lengths, postings = keep(lengths, "lengths"), keep(postings, "postings")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", raw.alias("raw"))
