@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,12 +17,18 @@ LENGTH, END_ID = 4096, 1
 GROUP_DOCS = 50_000
 
 
+def _letters(text: str) -> bool:
+    """Whether the text is of letters only, also as the tokenizer normalises it: some letters become one with a mark, which parts words."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
 class _WordIds:
     """White-space-delimited words (UTF-8) and their ids as little-endian 32-bit numbers.
 
     Exact for a tokenizer that lower-cases, drops white space and never joins what it separates,
     and that parts letters from the punctuation behind them. The words that are not known yet are
-    encoded in one string: words of letters are parted by their last ids, others by a mark.
+    encoded in one string: words of letters are parted by their last ids, others by a mark. Where
+    these ends are not as many as the words, the words are encoded one by one.
     What was not met since the last but one time that `bound` words had come together is forgotten.
     """
 
@@ -46,7 +53,7 @@ class _WordIds:
         if not core or core == word:
             return word
         last = core[-1]
-        return core if 97 <= last <= 122 or last >= 128 and core.decode("utf-8")[-1].isalpha() else word
+        return core if 97 <= last <= 122 or last >= 128 and _letters(core.decode("utf-8")[-1]) else word
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
@@ -57,13 +64,16 @@ class _WordIds:
         cores = {w: c for w in words if (c := self._core(w)) != w}
         need = [w for w in {*(words - cores.keys()), *cores.values(), *(w[len(c) :] for w, c in cores.items())} if w not in known]
         text = {w: w.decode("utf-8") for w in need}
-        letters = [w for w in need if text[w].isalpha()]  # one unit each, so that their last ids part them
-        others = [w for w in need if not text[w].isalpha() and b"\0" not in w and self.SPECIAL not in w] if len(self.mark) == 1 else []
+        letters = [w for w in need if _letters(text[w])]  # one unit each, so that their last ids part them
+        plain = set(letters)
+        others = [w for w in need if w not in plain and b"\0" not in w and self.SPECIAL not in w] if len(self.mark) == 1 else []
         for own, mark, kind in ((letters, " ", self.last), (others, f" {self.MARK} ", None)):
             for i in range(0, len(own), 20_000):
                 part = own[i : i + 20_000]
                 ids = np.array(self._encode(mark.join(map(text.__getitem__, part))), "<u4")
                 ends = (np.flatnonzero(kind[ids]) + 1).tolist() if kind is not None else [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+                if len(ends) != len(part):
+                    continue  # left to the loop below
                 data, start = ids.tobytes(), 0
                 for w, end in zip(part, ends, strict=True):
                     known[w] = data[4 * start : 4 * end]

@@ -208,6 +208,20 @@ def test_packed_pieces_hold_the_tokenizers_ids(spark):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_letters_that_are_normalised_with_a_mark_are_encoded_like_the_tokenizer():
+    v = packing._WordIds(packing.tokenizer_file())
+    odd = [c for c in map(chr, range(128, 0x30000)) if c.isalpha() and not packing._letters(c)]
+    assert "\u0130" in odd and len(odd) > 50
+    texts = ["\u0130stanbul and Ankara", "x\u0130. y\u0130", *(f"a{c}b {c} a{c}. plain" for c in odd)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.ids(texts)] == [v._encode(t) for t in texts]
+
+
+def test_batches_with_other_ends_than_words_are_encoded_word_by_word(monkeypatch):
+    monkeypatch.setattr(packing, "_letters", str.isalpha)
+    v = packing._WordIds(packing.tokenizer_file())
+    assert np.frombuffer(v.ids(["\u0130stanbul and Ankara"])[0], "<u4").tolist() == v._encode("\u0130stanbul and Ankara")
+
+
 def plain_top(rows, k, every=100):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
