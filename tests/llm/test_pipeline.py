@@ -69,3 +69,47 @@ def test_run_is_the_stages_in_turn(spark, corpus):
     folder, *_ = corpus
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "best-fit packing"]
     assert corpus_pipeline.run(spark, folder).count() > 200
+
+
+@pytest.mark.parametrize("small", [16, 2])
+def test_planted_near_copies_go_as_brute_force_says(spark, monkeypatch, small):
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL", small)  # with 2, most groups are large ones
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(vocabulary) for _ in range(rng.randrange(40, 300))] for _ in range(60)]
+    line = [rng.choice(vocabulary) for _ in range(25)]  # a common line
+    for i in range(0, 60, 3):
+        texts[i] = [*line, *texts[i]]
+    for i in range(40):  # near copies with a word in every 8 to 120 changed
+        copy = list(texts[i])
+        for at in range(rng.randrange(8), len(copy), rng.choice([8, 20, 35, 45, 60, 120])):
+            copy[at] = rng.choice(vocabulary)
+        texts.append(copy)
+    for _ in range(30):  # one large group of them
+        copy = list(texts[7])
+        for _ in range(max(1, len(copy) // 60)):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        texts.append(copy)
+    rows = [(1000 - i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)] + [(2000, None, "en", "s", 0), (2001, " ", "en", "s", 0), (2002, "two words", "en", "s", 0)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((r[1] or "").split() for r in rows)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 4
+                root[find(i)] = find(j)
+    want = {}
+    for i, r in enumerate(rows):
+        want[find(i)] = min(want.get(find(i), r[0]), r[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert far > 20 and len(want) < len(rows) - 40 and got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want.values())
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
