@@ -1,13 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features are words (runs of letters, lower-cased) and their beginnings of four to eight
-letters. From a bounded sample of labelled rows those are kept that mark distinct lines of
-toxic documents (a line that several documents share counts once, and as clean if any of
-them is). Inverse document frequencies are counted over all documents. The sample's documents that have
-a feature become the examples; the index stores, for each feature and block of examples, the
-largest weight, so that blocks are visited by falling upper bound until none can hold a
-nearer example. Votes are weighted by cosine and drawn towards the rate of toxic examples
-without features, by as much as `PULL` of similarity.
+A text's vector has all of its words (runs of letters, lower-cased): (1 + ln tf) * sqrt(idf), so that the
+product of two vectors carries the idf once. Words, and beginnings of words of four to eight
+letters, that mark toxic examples weigh more, by the logarithm of their lift; a beginning that
+marks nothing has no weight. Document frequencies are counted over all documents. A word that no
+example has counts in a text's length as one that no document has.
+
+Examples are the distinct texts of a bounded sample of labelled rows. The index stores, for each
+feature and block of examples, the largest weight. A text first visits the blocks of largest
+bound, then all whose bound reaches the kth cosine found so far, so its neighbours are exact;
+examples that tie with the kth vote too. Votes are weighted by cosine and drawn towards
+the rate of toxic examples. Scores are calibrated by a monotone map, learned on votes that each
+part of the examples gets from a model of the others.
 """
 
 from __future__ import annotations
@@ -19,220 +23,397 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
-
-#: Labelled rows that are learned from at most (those with the smallest hash of doc_id); all of the corpus is counted and scored.
-SAMPLE_ROWS = 16_384
-NEAREST, REJECT, PULL = 15, 0.7, 0.7
-#: A feature marks toxic lines if this many have it, with this likelihood ratio, and this many times the share of clean lines.
-LEAST_LINES, LEAST_RATIO, LEAST_LIFT = 6, 30.0, 8.0
-BEGINNINGS, INDEX_BLOCK = (4, 5, 6, 7, 8), 64
+from .common import U64, keep
+
+#: Distinct labelled texts that are learned from at most (those of smallest text hash); all of the corpus is counted and scored.
+SAMPLE_ROWS = 4096
+NEAREST, REJECT, PULL = 15, 0.7, 0.3
+#: A feature marks toxic texts if this many have it, with this likelihood ratio; copies of a line count once.
+LEAST_TEXTS, LEAST_RATIO = 3, 15.0
+BEGINNINGS, INDEX_BLOCK, FIRST_BLOCKS, FOLDS = (4, 5, 6, 7, 8), 64, 6, 4
+#: The score where nothing is labelled.
+NO_LABELS = 0.05
+#: Parts in which a task sends its document frequencies.
+FREQUENCY_PARTS = 16
 LETTERS = re.compile(r"[^\W\d_]+")
+TRAINING = "pmod(crc32(cast(doc_id as string)), 3) <> 1"
 
 
-def word_features(word: str) -> list[str]:
-    """Of one white-space-delimited, lower-cased word: its runs of letters, and their beginnings marked by a hyphen."""
-    out = []
-    for run in LETTERS.findall(word):
-        out.append(run)
-        out += [f"{run[:n]}-" for n in BEGINNINGS if len(run) >= n]
-    return out
+def beginnings(run: str) -> list[str]:
+    """Beginnings of a run of letters, marked by a hyphen."""
+    return [f"{run[:n]}-" for n in BEGINNINGS if len(run) >= n]
 
 
-class _Marks(dict):
-    """word -> numbers of its selected features; emptied when it grows beyond its bound."""
+def features(token: str) -> list[str]:
+    """Of one white-space-delimited, lower-cased token: its runs of letters, and their beginnings."""
+    return [f for run in LETTERS.findall(token) for f in (run, *beginnings(run))]
 
-    def __init__(self, features: list[str], bound: int = 300_000):
-        super().__init__()
-        self.number, self.bound = {f: i for i, f in enumerate(features)}, bound
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        value = tuple(n for f in word_features(word) if (n := self.number.get(f)) is not None)
-        if len(word) <= 64:
-            self[word] = value
+class Vocabulary:
+    """The examples' words by sorted hash, and the beginnings that mark toxic examples; numbered in this order."""
+
+    def __init__(self, hashes: np.ndarray, heads: list[str]):
+        self.hashes, self.heads = hashes, {h: len(hashes) + i for i, h in enumerate(heads)}
+
+    def __len__(self) -> int:
+        return len(self.hashes) + len(self.heads)
+
+    def word(self, run: str) -> int | None:
+        h = xxhash.xxh64_intdigest(run)
+        at = int(self.hashes.searchsorted(U64(h)))
+        return at if at < len(self.hashes) and int(self.hashes[at]) == h else None
+
+
+class _Tokens(dict):
+    """token -> numbers of its features, and its unknown words; emptied when it grows beyond its bound."""
+
+    def __init__(self, vocabulary: Vocabulary, bound: int = 200_000):
+        super().__init__()
+        self.vocabulary, self.bound = vocabulary, bound
+
+    def __missing__(self, token: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
+        known, unknown, heads = [], [], self.vocabulary.heads
+        for run in LETTERS.findall(token):
+            n = self.vocabulary.word(run)
+            if n is None:
+                unknown.append(run)
+            else:
+                known.append(n)
+            known += [heads[h] for h in beginnings(run) if h in heads]
+        value = tuple(known), tuple(unknown)
+        if len(token) <= 64:
+            self[token] = value
         return value
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, text: str | None) -> tuple[dict[int, int], dict[str, int]]:
+        """Occurrences of known features by number, and of unknown words."""
         if len(self) > self.bound:
             self.clear()
-        found: Counter = Counter()
-        for marks in filter(None, map(self.__getitem__, (text or "").lower().split())):
-            found.update(marks)
-        return found
+        known: dict[int, int] = {}
+        unknown: dict[str, int] = {}
+        for token, n in Counter((text or "").lower().split()).items():
+            numbers, others = self[token]
+            for f in numbers:
+                known[f] = known.get(f, 0) + n
+            for f in others:
+                unknown[f] = unknown.get(f, 0) + n
+        return known, unknown
+
+
+def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    f = np.fromiter(counts.keys(), np.int64, len(counts))
+    order = np.argsort(f)
+    return f[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+
+
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of several ranges one behind the other, and of each the number of its range."""
+    size = stop - start
+    ends = np.cumsum(size, dtype=np.int32)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total, dtype=np.int32) + np.repeat(start - ends + size, size), np.repeat(np.arange(len(size), dtype=np.int32), size)
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors of examples."""
+    """Block-max inverted index of unit vectors of examples: (id, share of toxic labels, features, occurrences)."""
 
-    def __init__(self, examples: list[tuple[int | None, int, dict[int, int]]], idf: np.ndarray, base: float):
-        self.idf, self.base = idf, base
+    def __init__(self, examples: list[tuple[int | None, float, np.ndarray, np.ndarray]], weight: np.ndarray, unknown: float):
+        self.weight, self.unknown = weight, unknown
         rows = []
-        for doc_id, label, counts in examples:
-            f, w = self.vector(counts)
+        for n, (id_, share, f, tf) in enumerate(examples):
+            often = int(f[tf.argmax()]) if len(f) else 0
+            f, w = self.vector(f, tf)
             if len(f):
-                rows.append((int(f[w.argmax()]), doc_id, label, f, w))
-        rows.sort(key=lambda r: (r[0], -1 if r[1] is None else r[1]))  # like beside like, so that blocks' bounds are tight
+                rows.append(((share == 0, often, n), id_, share, f, w))
+        rows.sort(key=lambda r: r[0])  # like beside like (of one label, then of one language), so that blocks' bounds are tight
         self.ids = [r[1] for r in rows]
         self.labels = np.array([r[2] for r in rows], float)
+        self.base = float(np.mean([share for _, share, _, _ in examples])) if examples else NO_LABELS
+        sizes = [len(r[3]) for r in rows]
+        f = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
+        order = np.argsort(f, kind="stable")  # within a feature examples ascend
+        self.example = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        self.value = (np.concatenate([r[4] for r in rows]) if rows else np.zeros(0))[order]
+        f, block = f[order], self.example // INDEX_BLOCK
+        #: Where each cell (feature, block) starts among the postings, its block and largest weight; and the cells of each feature.
+        first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (block[1:] != block[:-1])]) if len(f) else np.zeros(0, np.int64)
+        self.starts = np.r_[first, len(f)].astype(np.int32)
+        self.block = block[first].astype(np.int32)
+        self.bound = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(f[first], np.arange(len(weight) + 1)).astype(np.int32)
         self.blocks = -(-len(rows) // INDEX_BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # feature -> examples, weights, block bounds
-        by: dict[int, list[tuple[int, float]]] = {}
-        for n, r in enumerate(rows):
-            for f, w in zip(r[3].tolist(), r[4].tolist(), strict=True):
-                by.setdefault(f, []).append((n, w))
-        for f, own in by.items():
-            at, w = np.array([n for n, _ in own]), np.array([w for _, w in own])
-            bound = np.zeros(self.blocks)
-            np.maximum.at(bound, at // INDEX_BLOCK, w)
-            self.postings[f] = at, w, bound
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        f = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[x] for x in f.tolist()], float))) * self.idf[f] if len(f) else np.zeros(0)
-        size = math.sqrt(float((w * w).sum()))
-        return (f, w / size) if size > 0 else (f[:0], w[:0])
-
-    def nearest(self, counts: dict[int, int], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above zero, exactly: numbers and cosines. Ties: the smaller number."""
-        f, w = self.vector(counts)
-        own = [(*self.postings[x], y) for x, y in zip(f.tolist(), w.tolist(), strict=True) if x in self.postings]
-        if not own:
+
+    def vector(self, f: np.ndarray, tf: np.ndarray, unknown: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Features of weight above zero and their weights in the unit vector; occurrences of unknown words only lengthen it."""
+        w = (1 + np.log(tf)) * self.weight[f]
+        size = float((w * w).sum())
+        if unknown is not None and len(unknown):
+            size += float((((1 + np.log(unknown)) * self.unknown) ** 2).sum())
+        f, w = f[w > 0], w[w > 0]
+        return f, w / math.sqrt(size) if size > 0 else w
+
+    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above zero with a unit vector, and all that tie with the kth: numbers and cosines, largest first."""
+        cell, which = _spread(self.cells[f], self.cells[f + 1])
+        if not len(cell):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = sum(y * b for _, _, b, y in own)
-        best_n, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best_s) == k and bound[block] < best_s[-1] - 1e-9:
-                break
-            low, sums = block * INDEX_BLOCK, np.zeros(INDEX_BLOCK)
-            for at, weight, limit, y in own:
-                if limit[block] > 0:
-                    i, j = np.searchsorted(at, (low, low + INDEX_BLOCK))
-                    sums[at[i:j] - low] += y * weight[i:j]
-            hit = np.flatnonzero(sums > 0)
-            n, s = np.concatenate([best_n, hit + low]), np.concatenate([best_s, sums[hit]])
-            order = np.lexsort((n, -s))[:k]
-            best_n, best_s = n[order], s[order]
-        return best_n, best_s
-
-    def score(self, counts: dict[int, int], k: int = NEAREST) -> tuple[float, list, list]:
-        """Score, evidence (doc_ids of the nearest examples) and their cosines."""
-        n, s = self.nearest(counts, k)
-        value = float(((s * self.labels[n]).sum() + PULL * self.base) / (s.sum() + PULL))
-        return min(1.0, max(0.0, value)), [self.ids[i] for i in n.tolist()], s.tolist()
-
-
-def _select(sample: DataFrame) -> list[str]:
-    """Features that mark the distinct lines of the sample's toxic documents."""
-    lines = (
-        sample.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"), "toxic")
-        .groupBy("line")
-        .agg(F.min("toxic").alias("toxic"))
+        block, factor = self.block[cell], w[which]
+        bound = np.bincount(block, factor * self.bound[cell], self.blocks)
+        cosine, edge = np.zeros(len(self.ids)), 0.0
+        now = np.zeros(self.blocks, bool)
+        now[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        open_ = ~now & (bound > 0)
+        while now.any():  # the most promising blocks, then all others that may hold an example as near as the kth so far
+            take = now[block]
+            at, of = _spread(self.starts[cell[take]], self.starts[cell[take] + 1])
+            cosine += np.bincount(self.example[at], factor[take][of] * self.value[at], len(cosine))
+            if np.count_nonzero(cosine) >= k:
+                edge = float(np.partition(cosine, len(cosine) - k)[len(cosine) - k])
+            now, open_ = open_ & (bound >= edge - 1e-9), np.zeros(self.blocks, bool)
+        n = np.flatnonzero((cosine > 0) & (cosine >= edge - 1e-9))
+        n = n[np.lexsort((n, -cosine[n]))]
+        return n, cosine[n]
+
+    def vote(self, f: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[float, np.ndarray, np.ndarray]:
+        """The neighbours' weighted share of toxic labels, drawn towards the base rate; neighbours and cosines."""
+        n, s = self.nearest(f, w, k)
+        return float(((s * self.labels[n]).sum() + PULL * self.base) / (s.sum() + PULL)), n, s
+
+
+def calibration(votes: np.ndarray, shares: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """A monotone map from votes to probabilities by pooling adjacent violators: places and values between which to interpolate."""
+    order = np.lexsort((shares, votes))
+    pools: list[list[float]] = []  # sum of votes, sum of labels, number
+    for v, y in zip(votes[order].tolist(), shares[order].tolist(), strict=True):
+        pools.append([v, y, 1.0])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    if not pools:
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    v, y, n = np.array(pools).T
+    return v / n, np.maximum.accumulate((y + base) / (n + 1))
+
+
+class Model:
+    """What scores a text: vocabulary, index and calibration; it is broadcast, its size bounded by the sample."""
+
+    def __init__(self, vocabulary: Vocabulary, index: Index, places: np.ndarray, values: np.ndarray):
+        self.vocabulary, self.index, self.places, self.values = vocabulary, index, places, values
+
+    def calibrated(self, vote: float) -> float:
+        return min(1.0, max(0.0, float(np.interp(vote, self.places, self.values)))) if self.index.ids else NO_LABELS
+
+    def scorer(self, k: int = NEAREST):
+        """A function from texts to (score, evidence, cosines); equal texts that follow one another are scored once."""
+        tokens, seen = _Tokens(self.vocabulary), {}
+
+        def score(text: str | None) -> tuple[float, list, list]:
+            key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "replace"))
+            if key not in seen:
+                known, unknown = tokens.counts(text)
+                f, w = self.index.vector(*_arrays(known), np.fromiter(unknown.values(), np.int64, len(unknown)))
+                vote, n, s = self.index.vote(f, w, k)
+                if len(seen) > 2000:
+                    seen.clear()
+                seen[key] = self.calibrated(vote), [self.index.ids[i] for i in n.tolist()], s.tolist()
+            return seen[key]
+
+        return score
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int) -> DataFrame:
+    """(doc_id, text, share, fold) of distinct labelled texts, those of smallest hash: share of their labelled documents that are toxic."""
+    known = (
+        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(training)
+        .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("h2")).distinct()
+    chosen = (
+        hashed.join(known, "doc_id").groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("share"))
+        .orderBy("h", "h2").limit(sample_rows)
+    )  # bounded, so it can be broadcast
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.where((F.xxhash64("text") == F.col("h")) & (F.xxhash64("text", F.lit(1)) == F.col("h2"))).dropDuplicates(["h", "h2"])
+    return texts.repartition(4 * FOLDS, "h").select("h", "doc_id", "text", "share", F.pmod("h2", F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+def _marks(sample: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """Features that may mark toxic examples, and by fold (the last: none) their boosts when that fold is left out."""
+    toxic = F.col("share") > 0.5
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen: Counter = Counter()
         for b in batches:
-            for line, toxic in zip(b.column("line").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update({f for word in set(line.lower().split()) for f in word_features(word)})
-        names = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(names), 100_000):
-            part = names[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in seen)], names=["feature", "clean", "toxic"])
-
-    lines = keep(lines, "lines")
-    total = {r["toxic"]: r["n"] for r in lines.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = total.get(0, 0), total.get(1, 0)
-    if not n1:
-        return []
-    found = lines.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    x, y = F.col("toxic"), F.col("clean")
-    share = (x + y) / F.lit(n0 + n1)
-    term = lambda seen, want: F.when(seen > 0, seen * F.ln(seen / want)).otherwise(0.0)
+            for text, kind in zip(b.column("text").to_pylist(), b.column("kind").to_pylist(), strict=True):
+                seen.update({(f, kind) for token in set((text or "").lower().split()) for f in features(token)})
+        rows = list(seen.items())
+        for i in range(0, len(rows), 100_000):
+            part = rows[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([f for (f, _), _ in part], pa.string()), pa.array([kind for (_, kind), _ in part], pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["feature", "kind", "n"])
+
+    kinds = sample.select("text", (F.col("fold") * 2 + toxic.cast("int")).alias("kind"))
+    totals = np.zeros(2 * FOLDS, np.int64)
+    for r in kinds.groupBy("kind").count().collect():
+        totals[r["kind"]] = r["count"]
+    rows = kinds.mapInArrow(count, "feature string, kind int, n long")
+    found = rows.groupBy("feature").agg(*(F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2 * FOLDS)))
+    ones, zeros = (sum((F.col(f"n{2 * i + j}") for i in range(1, FOLDS)), F.col(f"n{j}")) for j in (1, 0))
+    found = found.where((ones >= LEAST_TEXTS) & (ones * int(totals[0::2].sum()) > zeros * int(totals[1::2].sum())))
+    lines = sample.where(toxic).select(F.explode(F.split("text", "\n")).alias("text"), F.lit(0).alias("kind")).distinct()
+    lines = lines.mapInArrow(count, "feature string, kind int, n long").groupBy("feature").agg(F.sum("n").alias("lines")).where(F.col("lines") >= LEAST_TEXTS)
+    got = found.join(lines, "feature").orderBy("feature").toArrow()  # as many as a bounded sample can hold
+    names = got.column("feature").to_pylist()
+    by_kind = np.array([got.column(f"n{i}").to_numpy() for i in range(2 * FOLDS)], float).reshape(2 * FOLDS, -1)
+    distinct = got.column("lines").to_numpy().astype(float)
+    boosts = []
+    for fold in [*range(FOLDS), None]:
+        rest = [i for i in range(FOLDS) if i != fold]
+        x, y = np.minimum(by_kind[[2 * i + 1 for i in rest]].sum(0), distinct), by_kind[[2 * i for i in rest]].sum(0)
+        n1, n0 = (float(totals[[2 * i + j for i in rest]].sum()) for j in (1, 0))
+        boosts.append(boost(x, y, n1, n0))
+    use = np.flatnonzero(np.max(boosts, axis=0) > 0) if names else np.zeros(0, np.int64)
+    return [names[i] for i in use.tolist()], [b[use] for b in boosts]
+
+
+def boost(x: np.ndarray, y: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Logarithm of the lift of features that x of n1 toxic and y of n0 clean examples have; 0 where that may be chance."""
+    if not n1 or not len(x):
+        return np.zeros(len(x))
+    share = (x + y) / (n1 + n0)
+
+    def term(seen: np.ndarray, want: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(want, 1e-9)), 0.0)
+
     ratio = 2 * (term(x, share * n1) + term(y, share * n0) + term(n1 - x, (1 - share) * n1) + term(n0 - y, (1 - share) * n0))
-    kept = found.where((x >= LEAST_LINES) & (ratio >= LEAST_RATIO) & (x / n1 >= LEAST_LIFT * (y + 0.5) / (n0 + 1)))
-    return sorted(r["feature"] for r in kept.select("feature").collect())  # as many as a bounded sample can hold
+    lift = (x / n1) / ((y + 0.5) / (n0 + 1))
+    return np.where((x >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (lift > 1), np.log(np.maximum(lift, 1)), 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], Index]:
-    """Features and index from the labelled rows of `docs` for which the SQL condition `training` holds.
+def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """By feature the number of documents that have it, and the number of documents."""
+    size = -(-(len(vocabulary) + 1) // FREQUENCY_PARTS)
 
-    A doc_id labelled more than once is toxic if any of its labels says so.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, df = _Tokens(vocabulary), np.zeros(size * FREQUENCY_PARTS, np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                own = {f for token in set((text or "").lower().split()) for f in tokens[token][0]}
+                df[list(own)] += 1
+                df[-1] += 1
+                if len(tokens) > tokens.bound:
+                    tokens.clear()
+        if df[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array([x.tobytes() for x in df.reshape(FREQUENCY_PARTS, size)], pa.binary())], names=["part", "df"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for x in t.column("df"):
+            total += np.frombuffer(x.as_py(), np.int64)
+        return pa.table({"part": t.column("part")[:1], "df": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(count, "part int, df binary").groupBy("part").applyInArrow(add, "part int, df binary").orderBy("part").toArrow()
+    df = np.frombuffer(b"".join(parts.column("df").to_pylist()), np.int64) if len(parts) else np.zeros(size * FREQUENCY_PARTS, np.int64)
+    return df[: len(vocabulary)], int(df[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST) -> Model:
+    """A model from the labelled rows of `docs` for which the SQL condition `training` holds.
+
+    A doc_id labelled more than once is toxic if any of its labels says so; texts that several
+    documents have count once, with their share of toxic labels.
     """
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(training)
-        .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    )  # bounded, so it can be broadcast
-    sample = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "sample")
-    features = _select(sample)
+    spark = docs.sparkSession
+    sample = keep(_sampled(docs, labels, training, sample_rows), "sample")
+    marked, boosts = _marks(sample)
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, df, n = _Marks(features), np.zeros(len(features), np.int64), 0
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for text in b.column("text").to_pylist():
-                own = marks.counts(text)
-                df[list(own)] += 1
-                n += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["feature", "n"])
+                seen.update(xxhash.xxh64_intdigest(run) for token in set(text.lower().split()) for run in LETTERS.findall(token))
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(seen, U64, len(seen)).view(np.int64))], names=["word"])
+
+    words = sample.select("text").mapInArrow(hashed, "word long").distinct().toArrow().column("word").to_numpy().astype(np.int64).view(U64)
+    vocabulary = Vocabulary(np.sort(words), [m for m in marked if m.endswith("-")])
+    place = np.array([vocabulary.heads[m] if m.endswith("-") else vocabulary.word(m) for m in marked], np.int64)
+    df, total = _frequencies(docs, vocabulary)
+    idf = np.sqrt(np.log((1 + total) / (1 + df)) + 1e-3)
+    unknown = math.sqrt(math.log(1 + total) + 1e-3)
 
-    seen = dict(docs.select("text").mapInArrow(present, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect())
-    df = np.array([seen.get(i, 0) for i in range(len(features))], float)
-    idf = np.log((1 + seen.get(-1, 0)) / (1 + df)) + 1e-3
+    def weights(fold: int) -> np.ndarray:
+        w = (np.arange(len(vocabulary)) < len(vocabulary.hashes)).astype(float)
+        w[place] += boosts[fold]
+        return w * idf
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = _Marks(features)
+        tokens = _Tokens(vocabulary)
         for b in batches:
-            own = [marks.counts(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([list(c.items()) for c in own], pa.map_(pa.int64(), pa.int64()))], names=["doc_id", "toxic", "counts"])
+            own = [_arrays(tokens.counts(t)[0]) for t in b.column("text").to_pylist()]
+            binary = [pa.array([x.astype(np.int32).tobytes() for x in part], pa.binary()) for part in (zip(*own) if own else ((), ()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "doc_id", "share", "fold")), *binary], names=["h", "doc_id", "share", "fold", "f", "tf"])
 
-    rows = sample.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, counts map<bigint,bigint>").collect()
-    plain = [r["toxic"] for r in rows if not r["counts"]]
-    base = (sum(plain) + 1) / (len(plain) + 20)
-    examples = {(tuple(sorted(r["counts"].items())), r["toxic"], r["doc_id"]) for r in rows if r["counts"]}
-    return features, Index([(d, y, dict(c)) for c, y, d in sorted(examples, key=lambda x: x[2])], idf, base)
+    rows = sample.mapInArrow(count, f"h long, doc_id {kind}, share double, fold int, f binary, tf binary").orderBy("h").toArrow().to_pydict()
+    examples = [(d, s, *(np.frombuffer(x, np.int32).astype(np.int64) for x in own)) for d, s, *own in zip(rows["doc_id"], rows["share"], rows["f"], rows["tf"], strict=True)]
+    folds = np.array(rows["fold"], np.int64)
+    shared = spark.sparkContext.broadcast((examples, folds, [weights(i) for i in range(FOLDS)], unknown))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples, folds, weights, unknown = shared.value
+        for b in batches:
+            for fold in b.column("id").to_pylist():
+                index = Index([e for e, n in zip(examples, folds.tolist(), strict=True) if n != fold], weights[fold], unknown)
+                own = [examples[i] for i in np.flatnonzero(folds == fold).tolist()]
+                votes = [index.vote(*index.vector(f, tf), k)[0] for _, _, f, tf in own]
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array([e[1] for e in own], pa.float64())], names=["vote", "share"])
+
+    got = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(cross, "vote double, share double").toArrow() if examples else pa.table({"vote": pa.array([], pa.float64()), "share": pa.array([], pa.float64())})
+    shared.unpersist()
+    index = Index(examples, weights(FOLDS), unknown)
+    return Model(vocabulary, index, *calibration(got.column("vote").to_numpy(), got.column("share").to_numpy(), index.base))
 
 
-def score(docs: DataFrame, labels: DataFrame, training: str = "pmod(crc32(cast(doc_id as string)), 3) <> 1", sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
     """(doc_id, text, ...), (doc_id, toxic, ...) -> (doc_id, score, predicted, evidence, cosines), a row per row.
 
-    The score is between 0 and 1 and depends on the text alone: equal texts have equal scores.
-    Null, empty and other texts without a feature have the rate of toxic examples among such
-    texts. evidence has the doc_ids of the nearest examples, the nearest first. With no labels
-    every score is 0.05. Null labels and labels of unknown documents are left out.
+    The score is between 0 and 1 and depends on the text alone: equal texts have equal scores, and other
+    doc_ids change no score as long as the same texts are learned from. Null, empty and other texts that
+    share no word with an example have the calibrated base rate. evidence has the doc_ids of the nearest
+    examples, the nearest first (of a text that several documents have, the smallest). With no labels
+    every score is 0.05. Null labels and labels of unknown documents are left out; repeated rows are scored each;
+    an empty table gives an empty one.
     """
-    features, index = fit(docs, labels, training, sample_rows)
-    sent = docs.sparkSession.sparkContext.broadcast((features, index))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, sample_rows, k))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, index = sent.value
-        marks, plain = _Marks(features), index.score({}, k)
+        judge = sent.value.scorer(k)
         for b in batches:
-            got = [index.score(c, k) if (c := marks.counts(t)) else plain for t in b.column("text").to_pylist()]
+            got = [judge(t) for t in b.column("text").to_pylist()]
             s = np.array([x[0] for x in got])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= reject).astype(np.int32)), pa.array([x[1] for x in got], pa.list_(pa.int64())), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
+                [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= reject).astype(np.int32)), pa.array([x[1] for x in got], pa.list_(ids)), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "predicted", "evidence", "cosines"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<bigint>, cosines array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>, cosines array<double>")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
     """docs without the rows that are predicted toxic; all columns stay. Rows are judged by their texts, so repeated ids are judged each."""
-    features, index = fit(docs, labels, options.pop("training", "pmod(crc32(cast(doc_id as string)), 3) <> 1"), options.pop("sample_rows", SAMPLE_ROWS))
-    k, reject = options.pop("k", NEAREST), options.pop("reject", REJECT)
-    sent = docs.sparkSession.sparkContext.broadcast((features, index))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, sample_rows, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, index = sent.value
-        marks = _Marks(features)
+        judge = sent.value.scorer(k)
         for b in batches:
-            keep_ = [not (c := marks.counts(t)) or index.score(c, k)[0] < reject for t in b.column("text").to_pylist()]
-            yield b.filter(pa.array(keep_, pa.bool_()))
+            yield b.filter(pa.array([judge(t)[0] < reject for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
