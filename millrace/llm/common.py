@@ -45,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_parts(spark: SparkSession) -> int:
-    """Partitions for a deal by key that is not left to the shuffle settings."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def needs_integer_id(docs: DataFrame) -> None:
+    """Operators that order documents by doc_id, or pack it, take integers of any width; the others keep whatever kind it is."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id must be an integer column here, not {kind}")
 
 
 def ascii_lower(text: str | None) -> bytes:
@@ -58,23 +60,27 @@ def ascii_lower(text: str | None) -> bytes:
 def word_chunks(text: str | None, overlap: int = 0) -> Iterator[list[bytes]]:
     """Lower-cased words in order, as lists of bounded size; each list after the first repeats the last `overlap` words.
 
-    A text of any length needs memory for one chunk of words besides itself.
+    Every list has more than `overlap` words, and so brings new ones; but a text that has no more in all
+    comes as one list, empty or not at all if it has none. A text of any length needs memory for one
+    chunk of words besides itself.
     """
     data = ascii_lower(text)
     if len(data) <= CHUNK_BYTES:
         yield data.split()
         return
-    start, carry = 0, []
+    start, carry, begun = 0, [], False
     while start < len(data):
         stop = start + CHUNK_BYTES
         if stop < len(data):
             while stop < len(data) and data[stop] not in b" \t\n\r\x0b\x0c":
                 stop += 1
         words = carry + data[start:stop].split()
-        if words:
+        if len(words) > overlap:
             yield words
-        carry = words[-overlap:] if overlap else []
-        start = stop
+            begun, words = True, words[len(words) - overlap :]
+        carry, start = words, stop
+    if carry and not begun:
+        yield carry
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, needs_integer_id
 
 MIN_WORDS = 50
 PLACE = ["o", "th"]
@@ -32,6 +32,7 @@ PLACE = ["o", "th"]
 
 def _placed(docs: DataFrame) -> DataFrame:
     """docs with the order of a document (o; null ids first) and the hash of its text (th): equal pairs are repeated rows."""
+    needs_integer_id(docs)
     return docs.withColumns({"__order": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
 
 

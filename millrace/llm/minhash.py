@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mix, word_chunks
+from .common import U64, WordHashes, mix, needs_integer_id, word_chunks
 
 SHINGLE_WORDS, BINS, BITS = 5, 512, 4
 #: Rows that one task holds in turn, about, and the most tasks; bounds of ranges are looked up 64 at a time.
@@ -100,9 +100,11 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     """Rows dealt into ranges of doc_id: (bucket, extra, doc_id, text), sorted within partitions; a range ends with the next one's first row.
 
     The last range ends with the first row of all. Ranges' bounds and first ids (10,000 at
-    most) are all that reaches the driver; each text moves once. Null ids come first; rows
-    with equal ids are in the order of their texts.
+    most) are all that reaches the driver; each text moves once. Beyond 10,000 ranges they grow, but a range is
+    sorted (with spilling) and read row by row, so a task's memory does not. Null ids come first; rows
+    with equal ids are in the order of their texts. doc_id must be an integer.
     """
+    needs_integer_id(docs)
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"))
     n = min(MAX_RANGES, max(1, ids.count() // RANGE_ROWS))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import needs_integer_id
+
 LENGTH, END_ID = 4096, 1
 #: Documents packed together, in expectation; groups are independent of one another and of partitions.
 GROUP_DOCS = 50_000
@@ -112,8 +114,9 @@ def pieces(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_i
     """(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32): ids and an end id, cut only where longer than `length`.
 
     A null or empty text has the end id alone. Each executor finds the tokenizer file itself
-    when `file` is None.
+    when `file` is None. doc_id must be an integer, and comes as a long.
     """
+    needs_integer_id(docs)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def pieces(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_i
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.ndarray, int]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import linededup, minhash, simhash
+from millrace.llm import linededup, minhash, packing, simhash
 from millrace.llm.components import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,11 +44,63 @@ def test_fingerprint_is_the_majority_of_shingle_hashes():
         assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
-def test_long_texts_are_read_in_chunks(monkeypatch):
-    text = " ".join(words(random.Random(2), 3000))
-    whole = simhash.fingerprint(text), minhash.pack(minhash.sketch(text))
-    monkeypatch.setattr("millrace.llm.common.CHUNK_BYTES", 100)
-    assert (simhash.fingerprint(text), minhash.pack(minhash.sketch(text))) == whole
+GAPS = ["a b c d e f g" + " " * 700, " " * 300 + "one", "x" * 900 + " b " + "y" * 900, "a b c" + "\n" * 400 + "d e f" + " \t" * 300 + "g", "q" * 3000, " " * 999, ("long" * 90 + " ") * 7, "a " * 300 + "\x0b" * 500 + "b"]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 100, 513])
+def test_long_texts_are_read_in_chunks(monkeypatch, size):
+    texts = [" ".join(words(random.Random(2), 3000)), *GAPS]
+    read = lambda t: (simhash.fingerprint(t), minhash.pack(minhash.sketch(t)), minhash.pack(minhash.sketch(t, 2, 64, 8), 8))
+    whole = [read(t) for t in texts]
+    assert [x[0] for x in whole] == [plain_fingerprint(t) for t in texts]
+    monkeypatch.setattr("millrace.llm.common.CHUNK_BYTES", size)
+    assert [read(t) for t in texts] == whole
+
+
+def plain_mix(x):
+    m = 2**64 - 1
+    x = x + 0x9E3779B97F4A7C15 & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_sketch(text, k, bins, bits):
+    """One hash a shingle, the least of each bin; an empty bin walks its own order of bins up to a full one."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return ""
+    m, size = 2**64 - 1, min(k, len(w))
+    least = {}
+    for i in range(len(w) - size + 1):
+        total = size
+        for j in range(size):
+            total += plain_mix(xxhash.xxh64_intdigest(w[i + j]) * int(minhash.FACTORS[j]) + j & m)
+        h = plain_mix(total & m)
+        least.setdefault(h * bins >> 64, []).append(h)
+    least = {b: min(hs) for b, hs in least.items()}
+    out = ""
+    for b in range(bins):
+        order = sorted(range(bins), key=lambda c: plain_mix(b * bins + c + 2**40))
+        value = least[b] if b in least else least[next(c for c in order if c in least)]
+        out += f"{(plain_mix(value ^ plain_mix(b + 2**50)) & 2**bits - 1):0{bits}b}"
+    return f"{int(out, 2):0{len(out) // 4}x}"
+
+
+def test_minhash_equals_a_plain_one():
+    rng = random.Random(9)
+    for n in (0, 1, 2, 4, 5, 9, 30, 200, 900):
+        text = " ".join(words(rng, n, 5000))
+        for k, bins, bits in ((5, 64, 4), (2, 16, 8), (5, 512, 4)):
+            assert minhash.pack(minhash.sketch(text, k, bins, bits), bits) == plain_sketch(text, k, bins, bits)
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    docs = spark.createDataFrame([("x", "some text")], "doc_id string, text string")
+    for f in (minhash.edited_likeness, linededup.dedup_lines, packing.pack):
+        with pytest.raises(TypeError):
+            f(docs)
+    assert simhash.near_duplicates(docs).first()["component_id"] == "x"
 
 
 def test_golay_table_covers_the_space():
