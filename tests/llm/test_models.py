@@ -71,29 +71,66 @@ def test_encoded_tables(spark):
     assert pieces.round_trip(docs.where("false")).count() == 0
 
 
-def plain_scores(rows, mixed=lm.MIXED):
+def plain_model(rows):
+    """Exact counts and learned weights -> probabilities of words after two others, with counts at their levels."""
     toks = [[w.decode() for w in (t or "").encode().lower().split()] + ["\n"] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
-    words, pairs = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for t, h in zip(toks, held):
         if not h:
-            words.update(t)
-            pairs.update(zip(["\n", *t], t))
-    n, v = sum(words.values()), len(words)
+            one.update(t)
+            two.update(zip(["\n", *t], t))
+            three.update(zip(["\n", *t], t, t[1:]))
+    n, v = sum(one.values()), len(one)
+    bounds = sorted({1 << i for i in range(40)} | {3 << i for i in range(40)})
+    level = lambda c: sum(b <= c for b in bounds)
+    least = lambda c: bounds[level(c) - 1] if c else 0
+    most = lambda c: bounds[level(c)] - 1
+
+    def learned(grams, histories):
+        want = 1 - sum(c == 1 for c in grams.values()) / sum(grams.values())
+        by_level = collections.defaultdict(list)
+        for c in histories.values():
+            by_level[level(c)].append(c)
+        mean = lambda k: sum(sum(cs) * (m := sum(cs) / len(cs) - 1) / (m + k) for cs in by_level.values()) / sum(histories.values())
+        low, high = -20.0, 60.0
+        for _ in range(80):
+            low, high = ((low + high) / 2, high) if mean(2 ** ((low + high) / 2)) > want else (low, (low + high) / 2)
+        return 2**low
+
+    k2, k3 = learned(two, one), learned(three, two)
+
+    def p1(w):
+        return (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p2(w, b):
+        m = max(0, one[b] - 1) / (max(0, one[b] - 1) + k2)
+        return (m * least(two[b, w]) / one[b] if one[b] else 0) + (1 - m) * p1(w)
+
+    def p3(w, a, b):
+        c = two[a, b]
+        m = max(0, least(c) - 1) / (max(0, least(c) - 1) + k3)
+        return (m * min(least(three[a, b, w]), least(c)) / most(c) if c else 0) + (1 - m) * p2(w, b)
+
+    return toks, held, one, n, v, p1, p2, p3
+
+
+def plain_scores(rows):
+    toks, held, one, n, _, p1, p2, p3 = plain_model(rows)
     out = []
     for (i, _), t, h in zip(rows, toks, held):
-        base = full = 0.0
-        for a, b in zip(["\n", *t], t):
-            p = (words[b] + 0.1) / (n + 0.1 * (v + 1))
-            c = pairs[a, b]
-            c = lm.LEVEL_COUNT[1 + int(math.log2(c))] if c else 0.0
-            share = min(c, words[a], words[b]) / words[a] if words[a] else 0.0
-            base += math.log10(p)
-            full += math.log10(mixed * share + (1 - mixed) * p if words[a] else p)
-        out.append((i, h, len(t), sum(words[x] > 0 for x in t), n, base, full))
+        full = sum(math.log10(p2(w, "\n") if j == 0 else p3(w, ["\n", *t][j - 1], t[j - 1])) for j, w in enumerate(t))
+        out.append((i, h, len(t), sum(one[x] > 0 for x in t), n, sum(math.log10(p1(w)) for w in t), full))
     return out
 
 
+def test_probabilities_add_up_to_one_at_most():
+    toks, _, one, _, _, _, p2, p3 = plain_model(corpus(1))
+    for t in toks[:40]:
+        for a, b in zip(["\n", *t], t):
+            assert sum(p3(w, a, b) for w in one) <= 1 + 1e-9 and sum(p2(w, b) for w in one) <= 1 + 1e-9
+
+
 def corpus(seed, n=150):
     rng = random.Random(seed)
     chain = {i: [rng.randrange(200) for _ in range(3)] for i in range(200)}
@@ -107,42 +144,48 @@ def corpus(seed, n=150):
     return rows + [(None, "w1 w2"), (7, None), (3, rows[3][1]), (10_000, "entirely new words é")]
 
 
-@pytest.mark.parametrize("limit", [lm.BROADCAST_BYTES, 0])
-def test_scores_equal_exact_counts_but_for_the_filter(spark, limit):
+READ = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def sorted_scores(df):
+    return sorted((tuple(r) for r in df.select(*READ).collect()), key=lambda r: (r[0] if r[0] is not None else -1, r[2], round(r[5], 6)))
+
+
+def test_scores_equal_exact_counts_but_for_the_filter(spark):
     rows = corpus(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS score", "3 AS level", "4 AS rid")
-    key = lambda r: (r[0] if r[0] is not None else -1, r[2], round(r[5], 6))
-    got = sorted((tuple(r) for r in lm.score(docs, broadcast_bytes=limit).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
-    want = sorted(plain_scores(rows), key=key)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5] for g in got], [w[5] for w in want])
-    near = np.array([g[6] for g in got]) - [w[6] for w in want]
-    assert near.min() > -1e-9 and near.mean() < 0.5  # a filter's false positives only raise a count
-    if limit == 0:
-        assert np.allclose(near, 0)
+    want = sorted(plain_scores(rows), key=lambda r: (r[0] if r[0] is not None else -1, r[2], round(r[5], 6)))
+    for bits in (300, lm.BITS):  # with many bits there are no false positives
+        got = sorted_scores(lm.score(docs, filter_bits=bits))
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5] for g in got], [w[5] for w in want])
+        near = np.array([g[6] for g in got]) - [w[6] for w in want]
+        assert np.abs(near).max() < 1e-6 if bits == 300 else abs(near.mean()) < 0.5
     held = [g for g in got if g[1]]
     assert sum(g[6] for g in held) > sum(g[5] for g in held)
 
 
-def test_scores_don_t_depend_on_what_a_task_remembers(spark, monkeypatch):
-    docs = spark.createDataFrame(corpus(2), "doc_id long, text string").coalesce(1)
-    read = lambda: sorted((r["doc_id"] or -1, r["n_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.score(docs).collect())
-    want = read()
-    monkeypatch.setattr(lm, "REMEMBERED", 20)
-    assert read() == want
+def test_texts_that_occur_twice_are_scored_apart(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(80))) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(40)]
+    got = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), "false").collect()}
+    twice, once = [got[i] for i in range(40)], [got[i] for i in range(40, 300)]
+    assert np.mean([a > b for a in twice for b in once]) > 0.93
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100])
+def test_chunks_change_no_score(spark, chunk):
+    docs = spark.createDataFrame(corpus(2), "doc_id long, text string")
+    want, got = (sorted_scores(lm.score(d, filter_bits=300, chunk=c)) for d, c in ((docs, lm.CHUNK), (docs.repartition(3), chunk)))
+    assert [w[:5] for w in want] == [g[:5] for g in got] and np.allclose([w[5:] for w in want], [g[5:] for g in got])
 
 
-def test_scores_of_nothing_and_long_texts(spark, monkeypatch):
+def test_scores_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs).count() == 0
-    (r,) = lm.score(spark.createDataFrame([(0, "a b")], "doc_id long, text string"), "true").collect()
-    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
-    monkeypatch.setattr("millrace.llm.common.CHUNK_BYTES", 50)
-    ids = lm._Ids()
-    text = " ".join(f"w{i % 7}" for i in range(100))
-    chunks = list(lm._token_chunks(text, ids))
-    assert len(chunks) > 2 and sum(len(c) - 1 for c in chunks) == 101
-    assert all(a[-1] == b[0] for a, b in zip(chunks, chunks[1:]))
+    (r,) = lm.score(spark.createDataFrame([("x", "a b")], "doc_id string, text string"), "true").collect()
+    assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == ("x", 3, 0, 0)
 
 
 def toxic_corpus(seed, n=900):
