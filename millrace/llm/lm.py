@@ -36,7 +36,7 @@ from .common import U64, keep, mix, word_chunks
 
 ALPHA = 0.1
 #: Tokens of a chunk, about; n-grams that a block receives, in expectation; bits of the filter for each entry, and probes.
-CHUNK, BLOCK_ITEMS, BITS, PROBES = 1 << 19, 1 << 18, 7.2, 5
+CHUNK, BLOCK_ITEMS, BITS, PROBES = 1 << 20, 1 << 20, 7.2, 5
 #: Hash of the end of a text, which also stands before its first word. No word has a line break.
 END = xxhash.xxh64_intdigest(b"\n")
 #: Least counts of the levels from 0, and their greatest.
@@ -66,12 +66,23 @@ def pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers byte plane by byte plane, which compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers byte plane by byte plane, which compress well where they are small or sorted."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
+def _from_planes(data: bytes, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.tobytes(), kind)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts as a byte each, those of 255 and more behind them."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+
+
+def _from_small(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data[:n], np.uint8).astype(np.uint32)
+    counts[counts == 255] = np.frombuffer(data[n:], np.uint32)
+    return counts
 
 
 CHUNKS = "chunk long, rids array<long>, ids array<{}>, held array<boolean>, sizes array<int>, silent array<int>, before long, words binary, tokens binary"
@@ -93,7 +104,7 @@ def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             rid, doc_id, held, size, silent = zip(*rows)
             cols = [
                 pa.array([(part << 32) + serial]), *(pa.array([list(x)], pa.list_(t)) for x, t in ((rid, pa.int64()), (doc_id, schema.field("doc_id").type), (held, pa.bool_()), (size, pa.int32()), (silent, pa.int32()))),
-                pa.array(np.array([before], U64).view(np.int64)), pa.array([np.array(ids.hashes, U64).tobytes()], pa.binary()), pa.array([_planes(np.concatenate(tokens))], pa.binary()),
+                pa.array(np.array([before], U64).view(np.int64)), pa.array([np.array(ids.hashes, U64).tobytes()], pa.binary()), pa.array([_planes(np.concatenate(tokens).astype(np.uint32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(cols, names=["chunk", "rids", "ids", "held", "sizes", "silent", "before", "words", "tokens"])
 
@@ -137,7 +148,7 @@ class Grams:
 
     def __init__(self, row: dict):
         words = np.frombuffer(row["words"], U64)
-        token = _from_planes(row["tokens"])
+        token = _from_planes(row["tokens"], np.uint32).astype(np.int64)
         sizes, silent = np.array(row["sizes"], np.int64), np.array(row["silent"], bool)
         starts = np.cumsum(sizes) - sizes
         self.row = np.repeat(np.arange(len(sizes)), sizes)
@@ -181,7 +192,7 @@ def _messages(grams: Grams, chunk: int, bits: int) -> Iterator[pa.RecordBatch]:
         ends = np.r_[starts[1:], len(block)].tolist() if len(starts) else []
         keys = hashes if kind == 1 else (hashes >> U64(32 - own)).astype(np.uint32)
         if ends:
-            parts = [pa.array([x[i:j].tobytes() for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary()) for x in (keys, grams.counts[kind])]
+            parts = [pa.array([pack(x[i:j]) for i, j in zip(starts.tolist(), ends, strict=True)], pa.binary()) for x, pack in ((keys, _planes), (grams.counts[kind], _small))]
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ends), pa.int64()), pa.array([kind] * len(ends), pa.int32()), pa.array(block[starts], pa.int64()), *parts], names=["chunk", "kind", "block", "keys", "counts"])
 
 
@@ -228,11 +239,12 @@ def answered(messages: DataFrame, bits: float = BITS) -> DataFrame:
 
     def merge(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         kind, block = key[0].as_py(), key[1].as_py()
-        parts = [x.as_py() for x in t.column("keys")]
-        width = 8 if kind == 1 else 4
-        sizes = [len(x) // width for x in parts]
-        keys, where = np.unique(np.frombuffer(b"".join(parts), U64 if kind == 1 else np.uint32), return_inverse=True)
-        counts = np.bincount(where, np.frombuffer(b"".join(x.as_py() for x in t.column("counts")), np.uint32), len(keys)).astype(np.int64)
+        parts = [_from_planes(x.as_py(), U64 if kind == 1 else np.uint32) for x in t.column("keys")]
+        sizes = [len(x) for x in parts]
+        keys, where = np.unique(np.concatenate(parts), return_inverse=True)
+        sent = np.concatenate([_from_small(x.as_py(), n) for x, n in zip(t.column("counts"), sizes, strict=True)])
+        counts = np.bincount(where, sent, len(keys)).astype(np.int64)
+        del parts, sent
         known = counts > 0
         level = np.searchsorted(LEAST, counts, side="right") - 1
         found = counts if kind == 1 else Filter(keys[known], counts[known], bits).levels(keys)
