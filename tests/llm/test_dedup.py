@@ -236,7 +236,8 @@ def plain_line_dedup(rows, least):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_equals_brute_force(spark, seed):
+def test_line_dedup_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(linededup, "HOT", (2000, 20, 1)[seed])  # all, some or no keys are hot
     rng = random.Random(seed)
     pool = [" ".join(words(rng, rng.choice([1, 2, 3, 5, 9]))) for _ in range(12)]
     texts = ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"unique {rng.random()}" for _ in range(rng.randrange(1, 25))) for _ in range(30)]
