@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over shallow features.
 
 A page is cut at block-level tags. A block's features are the word count and link density of
-itself and of its neighbours, whether it lies in the page's article, and whether its
-containers are boilerplate by element, role or class. The tree is grown from PAGES, a
-small labelled table of blocks in this module.
+itself and of its neighbours, and one sign of its containers: -1 if one calls itself boilerplate
+by element, role or whole class or id name, 1 if one calls itself the article, else 0. The tree is grown from
+PAGES, a small labelled table of blocks in this module; its first questions are about words and
+links, the sign is asked for below them. A sign of boilerplate is void on a container that holds most of
+the page's words while nothing else says it is the article, as a wrapper of the whole page does.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RAW = "script|style|noscript|template|svg|iframe|object|title|textarea|select|math|canvas"
+#: Elements whose content is no text of the page; without an end tag they go on to the page's end, but for those of FOREIGN, which are then left open.
+RAW, FOREIGN = "script|style|noscript|template|iframe|title|textarea|select|canvas", "svg"
 TOKEN = re.compile(
-    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)|<(?P<svg>{FOREIGN})(?=[\s/>])(?:[^>]*/>|[^>]*>.*?</(?P=svg)\s*>)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*)(?P<attrs2>[^>]*)>""",
     re.I | re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCKS = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Closed by the next block-level tag, or by the next of their kind.
@@ -31,50 +34,57 @@ LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset legend option".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Boilerplate also as inline elements.
-AD_WORDS = frozenset("ad ads adv advert advertisement adslot adunit adsbygoogle promo sponsored".split())
-BOILER_WORDS = AD_WORDS | frozenset("alert alerts announcement discussion megamenu responses sidenav snackbar subnav toast topnav advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus dropdown footer footnav gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
-#: Of these a part alone is enough, and an article inside doesn't lift it.
-FIRM = re.compile(r"comment|advert|sponsor|cookie|related|disqus|replies|respond|newsletter")
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adslot adunit adbox adsense adsbygoogle promo promoted promotion sponsor sponsored".split())
+#: What never wraps an article.
+FIRM_WORDS = AD_WORDS | frozenset("comment comments commentlist commentary-form consent cookie cookies disqus footer footnav nav navbar navigation breadcrumb breadcrumbs related replies reply respond responses newsletter gdpr".split())
+BOILER_WORDS = FIRM_WORDS | frozenset("alert alerts announcement discussion megamenu sidenav snackbar subnav toast topnav banner copyright disclaimer dropdown header login masthead menu menus modal notice notices notification overlay pager pagination paywall popup privacy recommended recommendations search share sharing sidebar signin signup skip social subscribe subscription toolbar topbar widget widgets".split())
+#: Parts of a name that change nothing: a name is a sign only if all its parts are known.
+PLAIN_WORDS = frozenset("site page main top bottom left right global primary secondary sub mini my the box bar area block section container wrapper wrap inner outer holder list item items links link text content body panel pane form button buttons icon icons group row col column unit slot region header footer article post entry story module zone user reader 1 2 3 4 5 6 7 8 9 0".split())
 #: Whole class or id names of what holds the article.
-CONTENT = re.compile(r"(?:article|content|entry|main|post|story|main[-_]?content|(?:article|entry|page|post|story)[-_]?(?:body|content|text))")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "article", "heading")
-
-
-def _boiler(tag: str, attrs: str) -> int:
-    """0: no sign; 1: a class or id says so; 2: the element itself, its role or a firm class does."""
-    if tag in BOILER_TAGS:
-        return 2
-    if not attrs or tag in ("html", "body"):
-        return 0
-    found = 0
-    for values in ATTRIBUTE.findall(attrs):
-        value = "".join(values).lower()
-        words = re.split(r"[^a-z0-9]+", value)
-        if not BOILER_ROLES.isdisjoint(words) and value.strip() in BOILER_ROLES or FIRM.search(value):
-            return 2
-        if not BOILER_WORDS.isdisjoint(words):
-            found = 1
-    return found
-
-
-def _content(attrs: str) -> bool:
-    """Whether a class or id says that the article is inside."""
-    return any(CONTENT.fullmatch(name) for values in ATTRIBUTE.findall(attrs) for name in "".join(values).lower().split())
+CONTENT = re.compile(r"(?:article|content|entry|main|post|story|main[-_]?content|(?:article|entry|page|post|story)[-_]?(?:body|content|text|header|title))")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sign")
+#: The share of a page's words beyond which a container's sign can be void, and that of other containers that uphold it.
+MOST, UPHELD = 0.5, 0.05
+
+
+def _named(name: str, words: frozenset[str]) -> bool:
+    """Whether a class or id name has a part among the words, and otherwise only plain parts."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+    return not words.isdisjoint(parts) and all(x in words or x in BOILER_WORDS or x in PLAIN_WORDS for x in parts)
+
+
+def sign(tag: str, attrs: str) -> tuple[int, bool]:
+    """What an element says it is: -1 boilerplate, 1 the article, 0 nothing; and whether it can't be a wrapper of the article."""
+    if tag in ("html", "body"):
+        return 0, False
+    content, found, firm = tag in ("article", "main"), tag in BOILER_TAGS, tag in ("nav", "footer", "aside")
+    for kind, *values in ATTRIBUTE.findall(attrs) if attrs else ():
+        for name in "".join(values).lower().split():
+            if kind.lower() == "role":
+                content |= name in ("main", "article")
+                found |= name in BOILER_ROLES
+            elif CONTENT.fullmatch(name):
+                content = True
+            elif _named(name, BOILER_WORDS):
+                found = True
+                firm |= _named(name, FIRM_WORDS)
+    return (-1 if found else int(content)), firm
 
 
 def _advert(attrs: str) -> bool:
-    return any(not AD_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", "".join(values).lower())) for values in ATTRIBUTE.findall(attrs))
+    return any(_named(name, AD_WORDS) for kind, *values in ATTRIBUTE.findall(attrs) if kind.lower() != "role" for name in "".join(values).lower().split())
 
 
 class _Blocks:
-    """Collects text blocks of one page."""
+    """Collects text blocks of one page, and the containers that they lie in."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, boilerplate (0 to 2), in an article
-        self.out: list[list] = []
+        self.stack: list[tuple[str, int]] = [("", 0)]  # element, number of the container
+        self.containers: list[list] = [[-1, "", 0, False, 0]]  # container around it, element, sign, firm, words
+        self.out: list[list] = []  # text, words, link density, container
         self.parts: list[str] = []
         self.link_parts: list[str] = []
-        self.link, self.heading = False, 0
+        self.link = False
         self.skip: tuple[str, int] | None = None  # an inline advert that is open, and its depth
 
     def text(self, raw: str) -> None:
@@ -88,8 +98,7 @@ class _Blocks:
             words = html.unescape("".join(self.parts)).split()
             if words:
                 linked = len(html.unescape(" ".join(self.link_parts)).split()) if self.link_parts else 0
-                _, boiler, article = self.stack[-1]
-                self.out.append([" ".join(words), len(words), min(1.0, linked / len(words)), int(boiler > 0), article, self.heading])
+                self.out.append([" ".join(words), len(words), min(1.0, linked / len(words)), self.stack[-1][1]])
             self.parts, self.link_parts = [], []
 
     def open(self, tag: str, attrs: str) -> None:
@@ -103,18 +112,11 @@ class _Blocks:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        _, boiler, article = stack[-1]
-        own = _boiler(tag, attrs)
-        if tag in ("article", "main") and boiler < 2 and own < 2:
-            boiler, article = 0, 1
-        elif attrs and not own and not boiler and _content(attrs):
-            article = 1
-        elif tag == "header" and article and own:
-            pass  # an article's own head
-        else:
-            boiler = max(boiler, own)
-        stack.append((tag, boiler, article))
-        self.heading = int(tag in LEAVES and tag != "p")
+        around, (own, firm) = stack[-1][1], sign(tag, attrs)
+        if own:
+            self.containers.append([around, tag, own, firm, 0])
+            around = len(self.containers) - 1
+        stack.append((tag, around))
 
     def inline(self, tag: str, end: str, attrs: str) -> None:
         """Text of inline adverts is left out, to their end or that of their block."""
@@ -130,11 +132,43 @@ class _Blocks:
             if self.stack[i][0] == tag:
                 del self.stack[i:]
                 break
-        self.heading = 0
+
+    def signs(self) -> list[int]:
+        """By container its sign, with those around it."""
+        boxes = self.containers
+        for _, words, _, at in self.out:
+            boxes[at][4] += words
+        for box in reversed(boxes[1:]):
+            boxes[box[0]][4] += box[4]
+        total, out = boxes[0][4], [0]
+        for n, (around, tag, own, firm, words) in enumerate(boxes[1:], 1):
+            if own < 0 and not firm and words > MOST * total and self._others(n) < UPHELD * total:
+                own = 0
+            outer = out[around]
+            out.append(outer if outer < 0 or not own or tag == "header" and outer > 0 else own)
+        return out
+
+    def _others(self, n: int) -> int:
+        """Words outside a container that lie in what calls itself the article."""
+        boxes = self.containers
+        around, at = set(), n
+        while at >= 0:
+            around.add(at)
+            at = boxes[at][0]
+        most = 0
+        for m, (up, _, own, _, words) in enumerate(boxes[1:], 1):
+            if own > 0 and m in around:
+                most = max(most, words - boxes[n][4])
+            elif own > 0:
+                while up >= 0 and up != n and not (boxes[up][2] < 0 and up not in around):
+                    up = boxes[up][0]
+                if up < 0:
+                    most = max(most, words)
+        return most
 
 
 def blocks(page: str | None) -> list[list]:
-    """[text, words, link density, boilerplate, in an article, heading] of each text block of a whole page, in order."""
+    """[text, words, link density, sign] of each text block of a whole page, in order."""
     page, at, b = page or "", 0, _Blocks()
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -161,12 +195,13 @@ def blocks(page: str | None) -> list[list]:
                 b.open(tag, attrs)
     b.text(page[at:])
     b.flush()
-    return b.out
+    signs = b.signs()
+    return [[*x[:3], signs[x[3]]] for x in b.out]
 
 
 def features(found: list[list]) -> np.ndarray:
     """FEATURES of each block; beyond the ends neighbours have no words and no links."""
-    own = np.array([x[1:] for x in found], float).reshape(-1, 5)
+    own = np.array([x[1:] for x in found], float).reshape(-1, 3)
     pad = np.zeros((1, 2))
     return np.hstack([own[:, :2], np.vstack([pad, own[:-1, :2]])[: len(own)], np.vstack([own[1:, :2], pad])[: len(own)], own[:, 2:]])
 
@@ -193,6 +228,11 @@ PAGES: tuple[tuple[tuple[int, str], ...], ...] = (
     ((0, f"<div><a>{_w(16)}</a> <a>{_w(20)}</a></div>"), (0, f"<div><a>{_w(25)}</a></div>"), (1, f"<h1>{_w(4)}</h1>"), (1, f"<p>{_w(60)}</p>"), (1, f"<p>{_w(5)}</p>"), (1, f"<p>{_w(80)}</p>"), (1, f"<p>{_w(3)}</p>"), (1, f"<p>{_w(50)}</p>"), (1, f"<p>{_w(7)}</p>"), (1, f"<p>{_w(44)}</p>"), (0, f"<div><a>{_w(18)}</a> {_w(3)} <a>{_w(30)}</a></div>"), (0, f"<div>{_w(9)}</div>")),
     ((1, f"<h1>{_w(6)}</h1>"), (1, f"<p>{_w(30)}</p>"), (1, f"<p>{_w(70)}</p>")),
     ((1, f"<p>{_w(25)}</p>"), (1, f"<p>{_w(6)}</p>"), (1, f"<p>{_w(120)}</p>"), (0, f"<div>{_w(2)}</div>")),
+    ((1, f"<h1>{_w(7)}</h1>"), (1, f"<p>{_w(60)}</p>"), (1, f"<p>{_w(52)}</p>"), (1, f"<p>{_w(45)}</p>")),
+    ((1, f"<div>{_w(80)}</div>"), (1, f"<div>{_w(22)} <a>{_w(2)}</a></div>"), (1, f"<div>{_w(64)}</div>"), (0, f"<div>{_w(6)}</div>")),
+    ((0, f"<div>{_w(3)}</div>"), (1, f"<h2>{_w(5)}</h2>"), (1, f"<p>{_w(110)}</p>"), (1, f"<p>{_w(18)}</p>")),
+    ((0, f"<ul>{_links(2, 2, 1)}</ul>"), (1, f"<p>{_w(150)}</p>"), (1, f"<p>{_w(33)}</p>"), (0, f"<p>{_w(7)}</p>"), (0, f"<ul>{_links(1, 3)}</ul>")),
+    ((1, f"<p>{_w(90)}</p>"), (1, f"<p>{_w(14)}</p>"), (1, f"<p>{_w(75)}</p>"), (1, f"<p>{_w(28)}</p>"), (0, f"<div>{_w(5)} <a>{_w(3)}</a></div>")),
     ((1, f"<p>{_w(40)}</p>"),),
     ((0, f"<header>{_w(1)}</header>"), (1, f"<main><h1>{_w(3)}</h1>"), (1, f"<p>{_w(1)} <a>{_w(2)}</a></p>"), (1, f"<h2>{_w(1)}</h2>"), (1, f"<p>{_w(2)}</p>"), (1, f"<h2><a>{_w(2)}</a></h2>"), (1, f"<p>{_w(9)}</p></main>")),
     ((0, f"<div><a>{_w(1)}</a></div>"), (0, f"<div>{_w(1)}</div>"), (1, f"<p>{_w(30)}</p>"), (0, f"<div><a>{_w(12)}</a></div>"), (0, f"<div><a>{_w(10)}</a></div>"), (0, f"<div>{_w(5)}</div>")),
@@ -211,12 +251,15 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     return np.vstack(xs), np.array(ys)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
-    """A decision tree by Gini impurity: (feature, threshold, tree for at most it, tree for more), or a label. Ties: the first feature, the least threshold."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, shallow: int = 2) -> tuple | int:
+    """A decision tree by Gini impurity: (feature, threshold, tree for at most it, tree for more), or a label.
+
+    The first `shallow` levels ask about words and links only, not about the sign. Ties: the first feature, the least threshold.
+    """
     if depth == 0 or len(set(y.tolist())) < 2:
         return int(2 * y.sum() > len(y))
     best = None
-    for f in range(x.shape[1]):
+    for f in range(x.shape[1] - (shallow > 0)):
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             left = x[:, f] <= t
@@ -225,9 +268,9 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | int:
             if best is None or impurity < best[0] - 1e-12:
                 best = impurity, f, float(t), left
     if best is None:
-        return int(2 * y.sum() > len(y))
+        return grow(x, y, depth, 0) if shallow > 0 else int(2 * y.sum() > len(y))
     _, f, t, left = best
-    below, above = grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    below, above = (grow(x[part], y[part], depth - 1, shallow - 1) for part in (left, ~left))
     return below if below == above and isinstance(below, int) else (f, t, below, above)
 
 

@@ -143,6 +143,55 @@ def test_tree_fits_its_table_and_holds_out():
     assert right / len(y) > 0.85
 
 
+def filler(n):
+    return " ".join(f"word{i}" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        (f'<div class="layout sidebar-left"><h1>Title here</h1><p>{filler(40)}</p></div>', 42),
+        (f'<article class="post tag-cookies"><h1>T</h1><p>{filler(40)}</p></article>', 41),
+        (f'<article class="topic-correlated"><p>{filler(40)}</p></article>', 40),
+        (f'<body><form id="aspnetForm"><nav><a>x</a></nav><h1>Title</h1><p>{filler(40)}</p><p>{filler(30)}</p></form>', 70),
+        (f"<article><p>before <math><mi>x</mi></math> after</p><svg width=1/><p>{filler(20)}</p><object><p>fallback text</p></object></article>", 25),
+        (f'<div id="content"><p>{filler(50)}</p></div><div id="comments"><div class="comment"><article><p>{filler(400)}</p></article></div></div>', 50),
+        (f'<main class="commentary"><p>{filler(30)}</p></main>', 30),
+        (f'<div class="correspondent"><p>{filler(30)}</p><p>{filler(30)}</p></div><footer><p>{filler(30)}</p></footer>', 60),
+        (f'<div class="sidebar"><p>{filler(100)}</p></div><article><p>{filler(40)}</p></article>', 40),
+        (f"<article><p>{filler(300_000)}</p><p>{filler(2)}</p></article>", 300_002),
+    ],
+)
+def test_names_don_t_decide_over_most_of_a_page(page, words):
+    assert len(htmltext.main_text(page).split()) == words
+
+
+def test_tree_splits_are_the_best_there_are():
+    x, y = htmltext.labelled()
+
+    def gini(ys):
+        return sum(ys) * (len(ys) - sum(ys)) / len(ys) if ys else 0.0
+
+    def check(node, rows, level):
+        if isinstance(node, int):
+            labels = [t for _, t in rows]
+            assert node == int(2 * sum(labels) > len(labels))
+            return
+        f, t, below, above = node
+        left, right = ([r for r in rows if (r[0][f] <= t) == side] for side in (True, False))
+        cost = gini([b for _, b in left]) + gini([b for _, b in right])
+        for g in range(len(htmltext.FEATURES) - (level < 2)):
+            for edge in sorted({r[0][g] for r in rows})[:-1]:
+                a, b = ([q for p, q in rows if (p[g] <= edge) == side] for side in (True, False))
+                assert gini(a) + gini(b) >= cost - 1e-9
+        check(below, left, level + 1)
+        check(above, right, level + 1)
+
+    rows = list(zip(x.tolist(), y.tolist()))
+    check(htmltext.tree(), rows, 0)
+    assert htmltext.FEATURES[htmltext.tree()[0]] != "sign"
+
+
 def test_extracted_pages(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE), (2, None, None), (None, "v", ""), (1, "u", ARTICLE)], PAGE).selectExpr("*", "0 AS text", "1 AS n_chars")
     got = htmltext.extract(pages).collect()
