@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and the control characters 9 to 13; bytes.split() cuts at the same six bytes.
 CHUNK_BYTES = 4 << 20
@@ -41,6 +42,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than this part of all rows is hot; so there are fewer hot keys than HOT, which are broadcast.
+HOT = 2000
+
+
+def with_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, hot: int = HOT) -> DataFrame:
+    """rows joined with a counted table (keys, n, ...) of theirs; the rows of hot keys stay where they are, so that no task gets them all."""
+    least = max(1, total // hot)
+    many, few = counted.where(F.col("n") > least), counted.where(F.col("n") <= least)
+    return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, needs_integer_id
+from .common import keep, needs_integer_id, with_counted
 
 MIN_WORDS = 50
 PLACE = ["o", "th"]
-#: A key with more than this part of all rows is hot; so there are fewer hot keys than HOT, which are broadcast.
+#: See common.with_counted.
 HOT = 2000
 
 
@@ -38,13 +38,6 @@ def _placed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__order": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
 
 
-def _with_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with a counted table (keys, n, ...) of theirs; the rows of hot keys stay where they are, so that no task gets them all."""
-    least = max(1, total // HOT)
-    hot, cold = counted.where(F.col("n") > least), counted.where(F.col("n") <= least)
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
-
-
 def line_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> (o, th, i, id, w): the lines with words, numbered from 0, with their IDs and numbers of words."""
 
@@ -106,14 +99,14 @@ def _doubled(ranks: DataFrame, h: int) -> DataFrame:
         pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("r", "s").select("r", "s", "n", F.monotonically_increasing_id().alias("rank")),
         "order",
     )  # written, since ranks must not be drawn again if an executor is lost
-    return keep(_with_counted(pairs, order, ["r", "s"], pairs.count()).select("o", "th", "i", F.col("rank").alias("r")), "ranks")
+    return keep(with_counted(pairs, order, ["r", "s"], pairs.count(), HOT).select("o", "th", "i", F.col("rank").alias("r")), "ranks")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text, ...) -> (o, th, lines): for each document with later copies of runs, the numbers of the lines to delete."""
     lines = keep(line_ids(docs), "lines")
     several = keep(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    ranks = keep(_with_counted(lines, several, ["id"], lines.count()).select("o", "th", "i", "w", F.col("id").alias("r")).dropDuplicates(["o", "th", "i"]), "repeated")
+    ranks = keep(with_counted(lines, several, ["id"], lines.count(), HOT).select("o", "th", "i", "w", F.col("id").alias("r")).dropDuplicates(["o", "th", "i"]), "repeated")
     parts = keep(shortest_parts(ranks, min_words), "parts")
     longest = parts.agg(F.max("m")).first()[0] or 0
     ranks, found, h = ranks.drop("w"), None, 1
@@ -135,7 +128,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = keep(found, "named")
     at = F.struct("o", "th", "i")
     first = keep(found.groupBy("m", "r", "s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
-    later = _with_counted(found, first, ["m", "r", "s"], found.count()).where(at > F.col("first"))
+    later = with_counted(found, first, ["m", "r", "s"], found.count(), HOT).where(at > F.col("first"))
     return later.select("o", "th", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 

@@ -64,10 +64,24 @@ def sketch(text: str | None, k: int = SHINGLE_WORDS, bins: int = BINS, bits: int
         full[at[first]] = True
     if not full.any():
         return None
+    return (mix(densified(least, full) ^ _salts(bins)) & U64((1 << bits) - 1)).astype(np.uint8)
+
+
+def densified(least: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Bins' values, those of empty bins borrowed from the first full bin of their order. One bin at least is full."""
     if not full.all():
         own, empty = np.flatnonzero(full), np.flatnonzero(~full)
-        least[empty] = least[own[_borrow(bins)[np.ix_(empty, own)].argmin(1)]]
-    return (mix(least ^ _salts(bins)) & U64((1 << bits) - 1)).astype(np.uint8)
+        least[empty] = least[own[_borrow(len(full))[np.ix_(empty, own)].argmin(1)]]
+    return least
+
+
+def least_of(items: np.ndarray, bins: int) -> np.ndarray:
+    """The bins' values of a set of sorted distinct shingle hashes, one at least."""
+    at = (items >> U64(64 - bins.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    least, full = np.zeros(bins, U64), np.zeros(bins, bool)
+    least[at[first]], full[at[first]] = items[first], True
+    return densified(least, full)
 
 
 def pack(values: np.ndarray | None, bits: int = BITS) -> str:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import U64, keep
 
 #: Distinct labelled texts that are learned from at most (those of smallest text hash); all of the corpus is counted and scored.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 3072
 NEAREST, REJECT, PULL = 15, 0.7, 0.3
 #: A feature marks toxic texts if this many have it, with this likelihood ratio; copies of a line count once.
 LEAST_TEXTS, LEAST_RATIO = 3, 15.0
-BEGINNINGS, INDEX_BLOCK, FIRST_BLOCKS, FOLDS = (4, 5, 6, 7, 8), 64, 6, 4
+BEGINNINGS, INDEX_BLOCK, FIRST_BLOCKS, FOLDS = (4, 5, 6, 7, 8), 256, 2, 4
 #: The score where nothing is labelled.
 NO_LABELS = 0.05
 #: Parts in which a task sends its document frequencies.
@@ -69,45 +70,41 @@ class Vocabulary:
 
 
 class _Tokens(dict):
-    """token -> numbers of its features, and its unknown words; emptied when it grows beyond its bound."""
+    """token -> number, with the numbers of each token's features; words that the vocabulary lacks get numbers beyond it. Emptied when it grows beyond its bound."""
 
     def __init__(self, vocabulary: Vocabulary, bound: int = 200_000):
         super().__init__()
         self.vocabulary, self.bound = vocabulary, bound
-
-    def __missing__(self, token: str) -> tuple[tuple[int, ...], tuple[str, ...]]:
-        known, unknown, heads = [], [], self.vocabulary.heads
-        for run in LETTERS.findall(token):
-            n = self.vocabulary.word(run)
-            if n is None:
-                unknown.append(run)
-            else:
-                known.append(n)
-            known += [heads[h] for h in beginnings(run) if h in heads]
-        value = tuple(known), tuple(unknown)
-        if len(token) <= 64:
-            self[token] = value
-        return value
-
-    def counts(self, text: str | None) -> tuple[dict[int, int], dict[str, int]]:
-        """Occurrences of known features by number, and of unknown words."""
+        self.number = dict(zip(vocabulary.hashes.tolist(), range(len(vocabulary.hashes)), strict=True))
+        self.starts = {h[: BEGINNINGS[0]] for h in vocabulary.heads}  # what a word with a marked beginning starts with
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.unknown: dict[str, int] = {}
+        self.ends, self.flat = array("i", [0]), array("i")  # where a token's features end, token by token
+
+    def __missing__(self, token: str) -> int:
+        heads, flat = self.vocabulary.heads, self.flat
+        for run in (token,) if token.isalpha() else LETTERS.findall(token):
+            n = self.number.get(xxhash.xxh64_intdigest(run))
+            flat.append(len(self.vocabulary.hashes) + len(heads) + self.unknown.setdefault(run, len(self.unknown)) if n is None else n)
+            if run[: BEGINNINGS[0]] in self.starts:
+                flat.extend(heads[h] for h in beginnings(run) if h in heads)
+        self.ends.append(len(flat))
+        self[token] = number = len(self.ends) - 2
+        return number
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's features, ascending, and their occurrences."""
         if len(self) > self.bound:
-            self.clear()
-        known: dict[int, int] = {}
-        unknown: dict[str, int] = {}
-        for token, n in Counter((text or "").lower().split()).items():
-            numbers, others = self[token]
-            for f in numbers:
-                known[f] = known.get(f, 0) + n
-            for f in others:
-                unknown[f] = unknown.get(f, 0) + n
-        return known, unknown
-
-
-def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    f = np.fromiter(counts.keys(), np.int64, len(counts))
-    order = np.argsort(f)
-    return f[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+            self.reset()
+        words = (text or "").lower().split()
+        token, n = np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), return_counts=True)
+        ends = np.frombuffer(self.ends, np.int32)
+        at, which = _spread(ends[token], ends[token + 1])
+        f, where = np.unique(np.frombuffer(self.flat, np.int32)[at] if len(at) else at, return_inverse=True)
+        return f.astype(np.int64), np.bincount(where, n[which], len(f)).astype(np.int64)
 
 
 def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,25 +133,28 @@ class Index:
         sizes = [len(r[3]) for r in rows]
         f = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
         order = np.argsort(f, kind="stable")  # within a feature examples ascend
-        self.example = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
+        self.example = np.repeat(np.arange(len(rows)), sizes)[order]
         self.value = (np.concatenate([r[4] for r in rows]) if rows else np.zeros(0))[order]
         f, block = f[order], self.example // INDEX_BLOCK
         #: Where each cell (feature, block) starts among the postings, its block and largest weight; and the cells of each feature.
         first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (block[1:] != block[:-1])]) if len(f) else np.zeros(0, np.int64)
         self.starts = np.r_[first, len(f)].astype(np.int32)
-        self.block = block[first].astype(np.int32)
+        self.block = block[first]
         self.bound = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(f[first], np.arange(len(weight) + 1)).astype(np.int32)
         self.blocks = -(-len(rows) // INDEX_BLOCK)
 
-    def vector(self, f: np.ndarray, tf: np.ndarray, unknown: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Features of weight above zero and their weights in the unit vector; occurrences of unknown words only lengthen it."""
-        w = (1 + np.log(tf)) * self.weight[f]
-        size = float((w * w).sum())
-        if unknown is not None and len(unknown):
-            size += float((((1 + np.log(unknown)) * self.unknown) ** 2).sum())
-        f, w = f[w > 0], w[w > 0]
-        return f, w / math.sqrt(size) if size > 0 else w
+    def vector(self, f: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features of weight above zero and their weights in the unit vector; words beyond the vocabulary only lengthen it."""
+        known = int(np.searchsorted(f, len(self.weight)))
+        w = 1 + np.log(tf)
+        w[:known] *= self.weight[f[:known]]
+        w[known:] *= self.unknown
+        size = math.sqrt(float(w @ w))
+        f, w = f[:known], w[:known]
+        if not w.all():
+            f, w = f[w > 0], w[w > 0]
+        return f, w / size if size > 0 else w
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero with a unit vector, and all that tie with the kth: numbers and cosines, largest first."""
@@ -215,9 +215,7 @@ class Model:
         def score(text: str | None) -> tuple[float, list, list]:
             key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "replace"))
             if key not in seen:
-                known, unknown = tokens.counts(text)
-                f, w = self.index.vector(*_arrays(known), np.fromiter(unknown.values(), np.int64, len(unknown)))
-                vote, n, s = self.index.vote(f, w, k)
+                vote, n, s = self.index.vote(*self.index.vector(*tokens.counts(text)), k)
                 if len(seen) > 2000:
                     seen.clear()
                 seen[key] = self.calibrated(vote), [self.index.ids[i] for i in n.tolist()], s.tolist()
@@ -303,11 +301,9 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, i
         tokens, df = _Tokens(vocabulary), np.zeros(size * FREQUENCY_PARTS, np.int64)
         for b in batches:
             for text in b.column("text").to_pylist():
-                own = {f for token in set((text or "").lower().split()) for f in tokens[token][0]}
-                df[list(own)] += 1
+                f = tokens.counts(text)[0]
+                df[f[: np.searchsorted(f, len(vocabulary))]] += 1
                 df[-1] += 1
-                if len(tokens) > tokens.bound:
-                    tokens.clear()
         if df[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array([x.tobytes() for x in df.reshape(FREQUENCY_PARTS, size)], pa.binary())], names=["part", "df"])
 
@@ -356,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_row
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(vocabulary)
         for b in batches:
-            own = [_arrays(tokens.counts(t)[0]) for t in b.column("text").to_pylist()]
+            own = [tokens.counts(t) for t in b.column("text").to_pylist()]
             binary = [pa.array([x.astype(np.int32).tobytes() for x in part], pa.binary()) for part in (zip(*own) if own else ((), ()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "doc_id", "share", "fold")), *binary], names=["h", "doc_id", "share", "fold", "f", "tf"])
 

@@ -236,7 +236,8 @@ def test_block_max_search_is_exact():
     index = toxicity.Index(examples, weight, 3.0)
     by_id = {e[0]: index.vector(e[2], e[3]) for e in examples}
     for _ in range(80):
-        f, w = index.vector(*row(), np.array([1] * rng.randrange(2)))
+        f, tf = row()
+        f, w = index.vector(*(np.r_[x, [y] * more].astype(np.int64) for more in [rng.randrange(2)] for x, y in ((f, 60), (tf, 1))))
         dense = np.zeros(60)
         dense[f] = w
         cosine = np.array([float(dense[by_id[i][0]] @ by_id[i][1]) for i in index.ids])
@@ -292,8 +293,7 @@ def test_votes_equal_a_plain_search_over_all_words(spark):
         near = sorted(((sum(x * v.get(f, 0.0) for f, x in q.items()), y) for v, y in vectors), reverse=True)
         near = [(s, y) for s, y in near if s > 0 and s >= near[14][0] - 1e-9]
         want = (sum(s * y for s, y in near) + 0.3 * base) / (sum(s for s, _ in near) + 0.3)
-        known_, unknown = tokens.counts(t)
-        got, n, _ = model.index.vote(*model.index.vector(*toxicity._arrays(known_), np.array(list(unknown.values()), np.int64)))
+        got, n, _ = model.index.vote(*model.index.vector(*tokens.counts(t)))
         assert abs(got - want) < 1e-6 and len(n) == len(near)
 
 
