@@ -76,4 +76,4 @@ def search(index: Index, query: str, top_k: int = 20, kind: str | None = None, a
         found = found.join(index.lengths.where(F.col("type") == kind).select("doc_id"), "doc_id", "left_semi")
     if allowed is not None:
         found = found.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    return found.orderBy(F.desc("score"), "doc_id").limit(top_k)
+    return found.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(top_k)

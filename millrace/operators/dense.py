@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
-    """Inner product of two arrays in double, inside generated code."""
+    """Inner product of two arrays in double."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -25,7 +25,7 @@ def search(vectors: DataFrame, query: Sequence[float], top_k: int = 20, where: C
         vectors = vectors.where(where)
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    return vectors.where("embedding IS NOT NULL").select("doc_id", dot("embedding", vector(query)).alias("score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
+    return vectors.where("embedding IS NOT NULL").select("doc_id", dot("embedding", vector(query)).alias("score")).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(top_k)
 
 
 def similar(vectors: DataFrame, doc_id: int | str, top_k: int = 10, same: str | None = "type") -> DataFrame:
@@ -34,7 +34,7 @@ def similar(vectors: DataFrame, doc_id: int | str, top_k: int = 10, same: str |
     found = vectors.where(F.col("doc_id") != doc_id).crossJoin(F.broadcast(own.limit(1)))
     if same:
         found = found.where(F.col(same) == F.col("_same"))
-    return found.select("doc_id", dot("embedding", "_query").alias("score")).orderBy(F.desc("score"), "doc_id").limit(top_k)
+    return found.select("doc_id", dot("embedding", "_query").alias("score")).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(top_k)
 
 
 def decode(c: Column | str) -> Column:

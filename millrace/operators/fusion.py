@@ -18,12 +18,15 @@ def ranked(hits: DataFrame, channel: str) -> DataFrame:
 
     The window has no partition, since a channel holds its few best only.
     """
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     return hits.select("doc_id", F.lit(channel).alias("channel"), "score").withColumn("rank", place)
 
 
-def fuse(channels: dict[str, DataFrame], top_k: int | None = None, k: int = K, weights: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, rrf_score, ranks, channel_scores) of channels (doc_id, score), by falling score: each adds weight / (k + rank)."""
+def fuse(channels: dict[str, DataFrame], top_k: int | None = None, k: int = K, weights: dict[str, float] | None = None, tie: bool = False) -> DataFrame:
+    """(doc_id, rrf_score, ranks, channel_scores) of channels (doc_id, score), by falling score: each adds weight / (k + rank).
+
+    With `tie`, a column _tie tells the order of documents with equal scores.
+    """
     weights = WEIGHTS | (weights or {})
     rows = reduce(DataFrame.unionByName, (ranked(hits, name) for name, hits in channels.items()))
     weight = F.create_map(*(F.lit(x) for name in channels for x in (name, float(weights.get(name, 1.0)))))
@@ -35,4 +38,5 @@ def fuse(channels: dict[str, DataFrame], top_k: int | None = None, k: int = K, w
         F.min(F.struct(order[F.col("channel")].alias("order"), "rank")).alias("_tie"),
     )
     fused = fused.orderBy(F.desc(F.round("rrf_score", 12)), "_tie", "doc_id")
-    return (fused.limit(top_k) if top_k else fused).drop("_tie")
+    fused = fused.limit(top_k) if top_k else fused
+    return fused if tie else fused.drop("_tie")

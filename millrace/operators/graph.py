@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEGREE, SHOWN = 25, 8
+#: Scores that agree to this many digits are ties; sums of doubles differ beyond by the order of their parts.
+DIGITS = 9
 
 
 def expand(edges: DataFrame, seeds: DataFrame, n_docs: DataFrame, top_k: int = 20, max_degree: int = MAX_DEGREE, kind: str | None = None) -> DataFrame:
@@ -30,7 +32,7 @@ def expand(edges: DataFrame, seeds: DataFrame, n_docs: DataFrame, top_k: int = 2
             F.sum(F.log1p(F.greatest("n", F.lit(1)) / F.col("degree"))).alias("score"),
             F.slice(F.array_sort(F.collect_set("entity_text")), 1, SHOWN).alias("shared"),
         )
-        .orderBy(F.desc("score"), "doc_id")
+        .orderBy(F.desc(F.round("score", DIGITS)), "doc_id")
         .limit(top_k)
     )
 

@@ -63,11 +63,12 @@ class Engine:
         if semantic and self.vectors is not None and self.embed is not None:
             out["semantic"] = dense.search(self.vectors, self.embed(query), candidates, allowed=allowed)
         if graph_ and self.edges is not None and out:
-            # the channels are small from here on, and read several times
-            out = {name: hits.cache() for name, hits in out.items()}
+            # a channel has `candidates` rows at most and is read several times, so its rows are taken once
+            spark = self.docs.sparkSession
+            out = {name: spark.createDataFrame(hits.collect(), hits.schema) for name, hits in out.items()}
             seeds = None
             for hits in out.values():
-                own = hits.orderBy(F.desc("score"), "doc_id").limit(SEEDS).select("doc_id")
+                own = hits.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(SEEDS).select("doc_id")
                 seeds = own if seeds is None else seeds.unionByName(own)
             n = self.docs.agg(F.count(F.lit(1)).alias("n"))
             hits = graph.expand(self.edges, seeds, n, candidates).select("doc_id", "score")
@@ -84,11 +85,12 @@ class Engine:
         if not query.strip():
             return self.hydrate(self.docs.limit(0).select("doc_id", F.lit(0.0).alias("rrf_score"))).limit(0)
         found = self.channels(query, filters, **options)
-        return self.hydrate(fusion.fuse(found, top_k, weights=self.weights))
+        return self.hydrate(fusion.fuse(found, top_k, weights=self.weights, tie=True))
 
     def hydrate(self, hits: DataFrame) -> DataFrame:
-        """Hits (few) with their documents, best first; hits without a document go."""
-        return self.docs.join(F.broadcast(hits), "doc_id").orderBy(F.desc("rrf_score"), "doc_id")
+        """Hits (few) with their documents, best first, ties in the order of fusion; hits without a document go."""
+        order = ["_tie"] if "_tie" in hits.columns else []
+        return self.docs.join(F.broadcast(hits), "doc_id").orderBy(F.desc(F.round("rrf_score", 12)), *order, "doc_id").drop("_tie")
 
 
 @dataclass

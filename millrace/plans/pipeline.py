@@ -89,14 +89,21 @@ class Pipeline:
 
     def funding(self, force: bool = False) -> dict:
         docs = self.documents()
-        fresh = funding.extract(docs, self.extractor, self.funding_limit, force)
+        said = store.keep(funding.read(docs, self.extractor, self.funding_limit, force), "read")
+        fresh = funding.rounds_of(said)
         known = self.table("funding_rounds")
         rounds = fresh if known.version() is None else known.read().unionByName(fresh)
         merged = funding.merge(funding.purge(funding.merge(rounds), docs), fill=False)
-        read = F.col("type") == "article"
         n = self._save("funding_rounds", merged)
-        self._save("documents", docs.withColumns({"funding_hash": F.when(read, F.col("content_hash")), "funding_extraction_version": F.when(read, F.lit(funding.VERSION))}))
-        return {"rounds": n}
+        # read are now those the pattern leaves out and those the extractor answered for; others wait for a later run
+        answered = said.where("NOT failed").select(F.col("doc_id").alias("_id"))  # at most the limit
+        left_out = funding.candidates(docs, force).where(~F.coalesce("passes", F.lit(False))).select(F.col("doc_id").cast("string").alias("_id"))
+        done = answered.unionByName(left_out).distinct().withColumn("_done", F.lit(True))
+        marked = docs.join(done, F.col("doc_id").cast("string") == F.col("_id"), "left")
+        read = F.coalesce("_done", F.lit(False))
+        marks = {"funding_hash": F.when(read, F.col("content_hash")).otherwise(F.col("funding_hash")), "funding_extraction_version": F.when(read, F.lit(funding.VERSION)).otherwise(F.col("funding_extraction_version"))}
+        self._save("documents", marked.withColumns(marks).select(*docs.columns))
+        return {"rounds": n, "read": said.where("NOT failed").count(), "failed": said.where("failed").count()}
 
     def companies(self, force: bool = False) -> dict:
         docs, rounds = self.documents(), self.table("funding_rounds")

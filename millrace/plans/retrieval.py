@@ -53,16 +53,16 @@ def _token_edges(docs: DataFrame) -> DataFrame:
     return one.withColumn("entity_text", F.col("entity_id"))
 
 
-@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY scored.score DESC, doc_id LIMIT 20")
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(bm25.search(bm25.build(_documents(spark, d)), QUERY))
+    return _scored(bm25.search(bm25.build(_documents(spark, d), written=True), QUERY))
 
 
-@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY scored.score DESC, doc_id LIMIT 20")
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 20")
 def bm25_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     allowed = docs.where("lang = 'en'").select("doc_id")
-    return _scored(bm25.search(bm25.build(docs), QUERY, allowed=allowed))
+    return _scored(bm25.search(bm25.build(docs, written=True), QUERY, allowed=allowed))
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
@@ -70,28 +70,28 @@ def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return bm25.build(_documents(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near ORDER BY near.score DESC, doc_id LIMIT 20")
+@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near ORDER BY round(near.score, 9) DESC, doc_id LIMIT 20")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d)
     own = vectors.where("doc_id = 0").first()["embedding"]
     return dense.search(vectors, own).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near WHERE label = 3 ORDER BY near.score DESC, doc_id LIMIT 20")
+@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near WHERE label = 3 ORDER BY round(near.score, 9) DESC, doc_id LIMIT 20")
 def dense_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d)
     own = vectors.where("doc_id = 0").first()["embedding"]
     return dense.search(vectors, own, where=F.col("label") == 3).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near WHERE doc_id <> 0 AND label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY near.score DESC, doc_id LIMIT 10")
+@query(f"WITH {DENSE} SELECT doc_id, round(score, 4) AS score FROM near WHERE doc_id <> 0 AND label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY round(near.score, 9) DESC, doc_id LIMIT 10")
 def similar_docs(spark: SparkSession, d: str) -> DataFrame:
     return dense.similar(_vectors(spark, d), 0, same="label").select("doc_id", F.round("score", 4).alias("score"))
 
 
 _CHANNELS = f"""{BM25}, {DENSE},
-kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
-se AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 20)"""
+kw AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0 QUALIFY rank <= 20),
+se AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near QUALIFY rank <= 20)"""
 _FUSED = """
 fused AS (SELECT doc_id, sum(w / (60 + rank)) AS s, min((o, rank)) AS tie FROM ch GROUP BY doc_id)"""
 
@@ -104,15 +104,15 @@ SELECT doc_id, round(s, 8) AS rrf_score FROM fused"""
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     vectors = _vectors(spark, d)
     own = vectors.where("doc_id = 0").first()["embedding"]
-    channels = {"keyword": bm25.search(bm25.build(_documents(spark, d)), QUERY), "semantic": dense.search(vectors, own)}
+    channels = {"keyword": bm25.search(bm25.build(_documents(spark, d), written=True), QUERY), "semantic": dense.search(vectors, own)}
     return fusion.fuse(channels).select("doc_id", F.round("rrf_score", 8).alias("rrf_score"))
 
 
 @query(
     f"""WITH {_CHANNELS},
 seeds AS (SELECT doc_id FROM kw WHERE rank <= 5 UNION SELECT doc_id FROM se WHERE rank <= 5), {GRAPH},
-cut AS (SELECT doc_id, score FROM expanded ORDER BY score DESC, doc_id LIMIT 20),
-gr AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM cut WHERE doc_id NOT IN (SELECT doc_id FROM kw) AND doc_id NOT IN (SELECT doc_id FROM se)),
+cut AS (SELECT doc_id, score FROM expanded ORDER BY round(score, 9) DESC, doc_id LIMIT 20),
+gr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM cut WHERE doc_id NOT IN (SELECT doc_id FROM kw) AND doc_id NOT IN (SELECT doc_id FROM se)),
 ch AS (SELECT doc_id, 0.5 AS w, rank, 0 AS o FROM kw UNION ALL SELECT doc_id, 1.0, rank, 1 FROM se UNION ALL SELECT doc_id, 0.5, rank, 2 FROM gr), {_FUSED},
 best AS (SELECT doc_id, s FROM fused ORDER BY round(s, 12) DESC, tie LIMIT 10)
 SELECT doc_id, lang, round(s, 8) AS rrf_score FROM best JOIN documents USING (doc_id)"""
@@ -120,13 +120,13 @@ SELECT doc_id, lang, round(s, 8) AS rrf_score FROM best JOIN documents USING (do
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     docs, vectors = _documents(spark, d), _vectors(spark, d)
     own = vectors.where("doc_id = 0").first()["embedding"]
-    engine = search.Engine(docs, bm25.build(docs), vectors, lambda _: own, _token_edges(docs))
+    engine = search.Engine(docs, bm25.build(docs, written=True), vectors, lambda _: own, _token_edges(docs))
     return engine.search(QUERY).select("doc_id", "lang", F.round("rrf_score", 8).alias("rrf_score"))
 
 
 @query(
     f"""WITH {TOKENS}, seeds AS (SELECT unnest([0, 1, 2, 3, 4]) AS doc_id), {GRAPH}
-SELECT doc_id, round(score, 6) AS score, array_to_string(shared, ' ') AS shared FROM expanded ORDER BY expanded.score DESC, doc_id LIMIT 20"""
+SELECT doc_id, round(score, 6) AS score, array_to_string(shared, ' ') AS shared FROM expanded ORDER BY round(expanded.score, 9) DESC, doc_id LIMIT 20"""
 )
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
@@ -220,14 +220,32 @@ def chat_history_window(spark: SparkSession, d: str) -> DataFrame:
     return rag.recent_turns(table(spark, d, "conversations"))
 
 
+_SWEEP = ", ".join(f"({w}::DOUBLE)" for w in (0.0, 0.25, 0.5, 0.75, 1.0))
+
+
 @query(
-    """SELECT e.weight, round(avg(CASE WHEN rank <= 10 THEN e.weight / (60 + rank) ELSE 0 END), 8) AS mean_gain
-FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS weight) e, (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) h GROUP BY e.weight"""
+    f"""WITH {_CHANNELS},
+grid AS (SELECT col0 AS weight FROM (VALUES {_SWEEP})),
+gains AS (SELECT doc_id, 1 + quality AS gain FROM labels),
+ch AS (SELECT weight, doc_id, weight AS w, rank, 0 AS o FROM kw, grid UNION ALL SELECT weight, doc_id, 1.0, rank, 1 FROM se, grid),
+fused AS (SELECT weight, doc_id, sum(w / (60 + rank)) AS s, min((o, rank)) AS tie FROM ch GROUP BY weight, doc_id),
+hits AS (SELECT weight, doc_id, row_number() OVER (PARTITION BY weight ORDER BY round(s, 12) DESC, tie, doc_id) AS place FROM fused QUALIFY place <= 10),
+ideal AS (SELECT sum(gain / log2(pos + 1)) AS idcg FROM (SELECT gain, row_number() OVER (ORDER BY gain DESC) AS pos FROM gains) WHERE pos <= 10)
+SELECT weight, round(coalesce(sum(gain / log2(place + 1)), 0) / (SELECT idcg FROM ideal), 6) AS ndcg FROM hits LEFT JOIN gains USING (doc_id) GROUP BY weight"""
 )
 def fusion_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Mean contribution of a channel's hits at several weights; the few weights are broadcast against ranked rows."""
-    weights = F.broadcast(spark.createDataFrame([(w,) for w in (0.0, 0.25, 0.5, 0.75, 1.0)], "weight double"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    ranked = _documents(spark, d).select("doc_id", place.alias("rank")).crossJoin(weights)
-    gain = F.when(F.col("rank") <= 10, F.col("weight") / (60 + F.col("rank"))).otherwise(0.0)
-    return ranked.groupBy("weight").agg(F.round(F.avg(gain), 8).alias("mean_gain"))
+    """nDCG at ten of the fused ranking by the weight of the keyword channel, with labelled quality as gain; weights are few, channels have their best only."""
+    vectors = _vectors(spark, d)
+    own = vectors.where("doc_id = 0").first()["embedding"]
+    found = {"keyword": bm25.search(bm25.build(_documents(spark, d), written=True), QUERY), "semantic": dense.search(vectors, own)}
+    found = {name: spark.createDataFrame(hits.collect(), hits.schema) for name, hits in found.items()}  # 20 rows each
+    gains = table(spark, d, "labels").select("doc_id", (F.col("quality") + 1).alias("gain"))
+    ideal = gains.orderBy(F.desc("gain")).limit(10).select("gain", F.row_number().over(Window.orderBy(F.desc("gain"))).alias("pos")).agg(F.sum(F.col("gain") / F.log2(F.col("pos") + 1)).alias("idcg"))
+    rows = None
+    for weight in (0.0, 0.25, 0.5, 0.75, 1.0):
+        fused = fusion.fuse(found, 10, weights={"keyword": weight}, tie=True)
+        place = F.row_number().over(Window.orderBy(F.desc(F.round("rrf_score", 12)), "_tie", "doc_id"))
+        one = fused.select(F.lit(weight).alias("weight"), "doc_id", place.alias("place"))
+        rows = one if rows is None else rows.unionByName(one)
+    gained = gains.join(F.broadcast(rows), "doc_id", "right").groupBy("weight").agg(F.coalesce(F.sum(F.col("gain") / F.log2(F.col("place") + 1)), F.lit(0.0)).alias("dcg"))
+    return gained.crossJoin(F.broadcast(ideal)).select("weight", F.round(F.col("dcg") / F.col("idcg"), 6).alias("ndcg"))

@@ -1,7 +1,8 @@
 """Operators on small tables: merges, stores, fusion, expansion, sources, streams and the whole pipeline."""
 
 import json
-from datetime import date, datetime, timezone
+import random
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,32 @@ def test_vectors_and_stand_ins(spark):
     assert df.select(dense.decode(dense.encode("v")).alias("v")).first()["v"] == [0.5, 0.25]
     assert PatternRecogniser().entities("Acme Corp and Acme Corp of X") == [("Acme Corp", "ORG", 2), ("X", "ORG", 1)]
     assert normalizers.list_companies(None) == []
+
+
+def test_rounds_match_as_the_columns_say(spark):
+    """The replay's rule equals same_round, for every pair of a few hundred."""
+    rng = random.Random(3)
+    base = datetime(2026, 7, 1)
+    changes = [{"round": rng.choice([None, "seed", "series a"]), "currency": rng.choice([None, "USD", "EUR"]), "amount_usd": rng.choice([None, 0.0, 1e6, 1.05e6, 1.15e6, 2e6]), "announced_at": rng.choice([None, base, base + timedelta(days=13), base + timedelta(days=30)])} for _ in range(24)]
+    rounds = rounds_of(spark, *[c | {"_id": str(i)} for i, c in enumerate(changes)])
+    want = {(r["x"], r["y"]) for r in rounds.alias("a").join(rounds.alias("b"), funding.same_round("a", "b")).select(F.col("a._id").alias("x"), F.col("b._id").alias("y")).collect()}
+    rows_ = {r["_id"]: r.asDict() for r in rounds.collect()}
+    assert {(a, b) for a in rows_ for b in rows_ if funding._first_match([rows_[a]], rows_[b]) == 0} == want and 50 < len(want) < 500
+    assert funding._first_match([], rows_["0"]) is None
+
+
+def test_articles_beyond_the_limit_are_read_later_and_failures_again(spark, tmp_path):
+    class Shaky(funding.PatternExtractor):
+        def extract(self, title, text):
+            if "Fails" in title:
+                raise RuntimeError("no reply")
+            return super().extract(title, text)
+
+    rows_ = [(str(i), "article", f"Firm{chr(65 + i)} raises ${i + 1}M" if i < 5 else "Fails raises $9M" if i == 5 else "Nothing to see", "", f"h{i}", None, None, NOW - timedelta(hours=i), "P", "s") for i in range(8)]
+    docs = spark.createDataFrame(rows_, "doc_id string, type string, title string, description string, content_hash string, funding_hash string, funding_extraction_version string, event_at timestamp, publisher string, source string")
+    p = Pipeline(spark, str(tmp_path), extractor=Shaky(), funding_limit=2)
+    p._save("documents", docs)
+    counts = [p.funding() for _ in range(4)]
+    assert [c["rounds"] for c in counts] == [2, 4, 5, 5] and [c["read"] for c in counts] == [2, 2, 1, 0] and [c["failed"] for c in counts] == [0, 0, 1, 1]
+    marked = {r["doc_id"]: r["funding_hash"] for r in p.documents().collect()}
+    assert marked == {str(i): None if i == 5 else f"h{i}" for i in range(8)}
