@@ -20,7 +20,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), lengths(doc_id, length, [type]), terms(term, df, idf), corpus(n, avgdl)."""
+    """postings(term, doc_id, tf, length of the document), lengths(doc_id, length, [type]), terms(term, df, idf), corpus(n, avgdl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -33,21 +33,24 @@ class Index:
 def build(docs: DataFrame, text: str = "text", written: bool = False) -> Index:
     """Index of (doc_id, text, [type]). Documents whose text is blank are left out; those without tokens count in n and the mean length.
 
-    `written`: postings and lengths are stored first, for an index that serves many queries;
-    for a single query, reused exchanges are cheaper.
+    `written`: postings and lengths are stored first, so that no text is cut twice; without it an index is a plan.
     """
     kept = [c for c in ("type",) if c in docs.columns]
     tokens = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select("doc_id", *kept, tokenize(text).alias("tokens"))
-    lengths = tokens.select("doc_id", *kept, F.size("tokens").alias("length"))
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    # a text is cut into tokens once: its length goes with them, and a document without tokens has a row without a term
+    counted = tokens.select("doc_id", *kept, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).groupBy("term", "doc_id", *kept, "length").agg(F.count("term").alias("tf"))
     if written:
-        lengths, postings = keep(lengths, "lengths"), keep(postings, "postings")
+        counted = keep(counted, "postings")
+    postings = counted.where("term IS NOT NULL").select("term", "doc_id", "tf", "length")
+    lengths = counted.groupBy("doc_id", *kept).agg(F.first("length").alias("length")).select("doc_id", *kept, "length")
+    if written:
+        lengths = keep(lengths, "lengths")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", raw.alias("raw"))
-    mean = counted.agg(F.avg("raw").alias("mean"))
+    by_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", raw.alias("raw"))
+    mean = by_term.agg(F.avg("raw").alias("mean"))
     # a term in more than half of the documents gets a small part of the mean instead
-    terms = counted.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = by_term.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, lengths, terms, corpus)
 
 
@@ -63,7 +66,7 @@ def scores(index: Index, query: str, k1: float = K1, b: float = B) -> DataFrame:
     found = index.postings.join(asked, "term").join(F.broadcast(index.terms.join(asked.select("term"), "term")), "term")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    return found.join(index.lengths.select("doc_id", "length"), "doc_id").crossJoin(F.broadcast(index.corpus)).groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return found.crossJoin(F.broadcast(index.corpus)).groupBy("doc_id").agg(F.sum(part).alias("score"))
 
 
 def search(index: Index, query: str, top_k: int = 20, kind: str | None = None, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
