@@ -3,7 +3,7 @@
 A text's vector has all of its words (runs of letters, lower-cased): (1 + ln tf) * sqrt(idf), so that the
 product of two vectors carries the idf once. Words, and beginnings of words of four to eight
 letters, that mark toxic examples weigh more, by the logarithm of their lift; a beginning that
-marks nothing has no weight. Document frequencies are counted over all documents. A word that no
+marks nothing has no weight, nor has such a word that is COMMON. Document frequencies are counted over all documents. A word that no
 example has counts in a text's length as one that no document has.
 
 Examples are the distinct texts of a bounded sample of labelled rows. The index stores, for each
@@ -36,6 +36,8 @@ NEAREST, REJECT, PULL = 15, 0.7, 0.3
 #: A feature marks toxic texts if this many have it, with this likelihood ratio; copies of a line count once.
 LEAST_TEXTS, LEAST_RATIO = 3, 15.0
 BEGINNINGS, INDEX_BLOCK, FIRST_BLOCKS, FOLDS = (4, 5, 6, 7, 8), 256, 2, 4
+#: Words that more than this share of all documents have tell nothing: they have no weight, unless they mark toxic texts.
+COMMON = 0.2
 #: The score where nothing is labelled.
 NO_LABELS = 0.05
 #: Parts in which a task sends its document frequencies.
@@ -72,7 +74,7 @@ class Vocabulary:
 class _Tokens(dict):
     """token -> number, with the numbers of each token's features; words that the vocabulary lacks get numbers beyond it. Emptied when it grows beyond its bound."""
 
-    def __init__(self, vocabulary: Vocabulary, bound: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, bound: int = 100_000):
         super().__init__()
         self.vocabulary, self.bound = vocabulary, bound
         self.number = dict(zip(vocabulary.hashes.tolist(), range(len(vocabulary.hashes)), strict=True))
@@ -343,8 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_row
     unknown = math.sqrt(math.log(1 + total) + 1e-3)
 
     def weights(fold: int) -> np.ndarray:
-        w = (np.arange(len(vocabulary)) < len(vocabulary.hashes)).astype(float)
-        w[place] += boosts[fold]
+        w = ((np.arange(len(vocabulary)) < len(vocabulary.hashes)) & (df <= COMMON * total)).astype(float)
+        w[place] = np.where(boosts[fold] > 0, boosts[fold] + (place < len(vocabulary.hashes)), w[place])
         return w * idf
 
     kind = docs.schema["doc_id"].dataType.simpleString()

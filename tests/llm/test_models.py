@@ -279,7 +279,7 @@ def test_votes_equal_a_plain_search_over_all_words(spark):
     def vector(t):
         v = {}
         for f in set(parts(t)):
-            w = (not f.endswith("-")) + gain.get(f, 0.0)
+            w = (not f.endswith("-") and (f in gain or df.get(f, 0) <= 0.2 * len(rows))) + gain.get(f, 0.0)
             if w:
                 v[f] = (1 + math.log(parts(t).count(f))) * w * math.sqrt(math.log((1 + len(rows)) / (1 + df.get(f, 0))) + 1e-3)
         size = math.sqrt(sum(x * x for x in v.values()))
