@@ -114,7 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it grows beyond its bound."""
 
-    def __init__(self, bound: int = 400_000, seed: int = 0):
+    def __init__(self, bound: int = 100_000, seed: int = 0):
         super().__init__()
         self.bound, self.seed = bound, seed
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, keep
 
 #: Distinct labelled texts that are learned from at most (those of smallest text hash); all of the corpus is counted and scored.
-SAMPLE_ROWS = 3072
+SAMPLE_ROWS = 2560
 NEAREST, REJECT, PULL = 15, 0.7, 0.3
 #: A feature marks toxic texts if this many have it, with this likelihood ratio; copies of a line count once.
 LEAST_TEXTS, LEAST_RATIO = 3, 15.0
@@ -102,11 +102,15 @@ class _Tokens(dict):
         if len(self) > self.bound:
             self.reset()
         words = (text or "").lower().split()
-        token, n = np.unique(np.fromiter(map(self.__getitem__, words), np.int32, len(words)), return_counts=True)
-        ends = np.frombuffer(self.ends, np.int32)
-        at, which = _spread(ends[token], ends[token + 1])
-        f, where = np.unique(np.frombuffer(self.flat, np.int32)[at] if len(at) else at, return_inverse=True)
-        return f.astype(np.int64), np.bincount(where, n[which], len(f)).astype(np.int64)
+        token, ends = np.fromiter(map(self.__getitem__, words), np.int32, len(words)), np.frombuffer(self.ends, np.int32)
+        at, _ = _spread(ends[token], ends[token + 1])
+        f, tf = np.unique(np.frombuffer(self.flat, np.int32)[at] if len(at) else at, return_counts=True)
+        return f.astype(np.int64), tf
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that little text is held as Python strings."""
+    return (b.slice(i, rows) for b in batches for i in range(0, max(1, b.num_rows), rows))
 
 
 def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +305,7 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, df = _Tokens(vocabulary), np.zeros(size * FREQUENCY_PARTS, np.int64)
-        for b in batches:
+        for b in _slices(batches):
             for text in b.column("text").to_pylist():
                 f = tokens.counts(text)[0]
                 df[f[: np.searchsorted(f, len(vocabulary))]] += 1
@@ -394,7 +398,7 @@ def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
-        for b in batches:
+        for b in _slices(batches):
             got = [judge(t) for t in b.column("text").to_pylist()]
             s = np.array([x[0] for x in got])
             yield pa.RecordBatch.from_arrays(
@@ -411,7 +415,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array([judge(t)[0] < reject for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
