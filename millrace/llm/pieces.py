@@ -4,7 +4,9 @@ The automaton reports, at each position, all pieces that end there (the longest
 its output links); each relaxes the best score of its end from that of its start. A
 character that is no piece itself can stand alone as unknown, at a penalty, and is written as
 byte pieces where the vocabulary has them. Scores and pieces come from the model file; a
-file trained for another search (merges) lends its vocabulary, not that search.
+file trained for another search (merges) lends its vocabulary, not that search. Unused pieces are
+not searched; user-defined ones score as many times the best score (0 at least, as the library has it) as they
+have bytes, less 0.1.
 """
 
 from __future__ import annotations
@@ -76,7 +78,8 @@ class Vocabulary:
                 if spec.get(2):
                     raise ValueError("character maps of a normaliser are not supported")
                 self.dummy_prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        usable = [i for i, kind in enumerate(self.kinds) if kind in (NORMAL, USER, UNUSED)]
+        usable = [i for i, kind in enumerate(self.kinds) if kind in (NORMAL, USER)]
+        best = max([0.0, *(self.scores[i] for i in usable if self.kinds[i] == NORMAL)])
         self.unknown = self.kinds.index(UNKNOWN)
         self.penalty = min((self.scores[i] for i in usable if self.kinds[i] == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.single = {self.pieces[i] for i in usable if len(self.pieces[i]) == 1}
@@ -84,7 +87,8 @@ class Vocabulary:
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.automaton = ahocorasick.Automaton()
         for i in usable:
-            self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i]), self.scores[i]))
+            gain = self.scores[i] if self.kinds[i] == NORMAL else len(self.pieces[i].encode()) * best - 0.1
+            self.automaton.add_word(self.pieces[i], (i, len(self.pieces[i]), gain))
         self.automaton.make_automaton()
         #: If no piece goes on behind a space mark that follows something else, a best path of the text is one of each word.
         self.by_word = not any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable)

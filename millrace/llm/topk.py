@@ -66,7 +66,7 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int =
     Queries are the rows whose vec_id is divisible by `every`; candidates are all rows with
     another vec_id and the same number of components. Ties go to the smaller vec_id. Vectors
     that are null, or hold null or non-finite components, and rows without a vec_id take no
-    part. Of repeated query ids the smallest vector asks; repeated candidates count each.
+    part. Of repeated query ids the smallest vector that takes part asks; repeated candidates count each.
     An empty table gives an empty one. Scores must be below 2^53, where doubles are exact.
     """
     spark = vectors.sparkSession
@@ -74,7 +74,7 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int =
     norm = vectors.mapInArrow(lambda it: _largest(it, scale), "norm double").agg(F.max("norm")).first()[0] or 0.0
     if norm * norm >= 2**53:
         raise ValueError("scores of these vectors can exceed what doubles hold exactly")
-    asking = vectors.where(f"vec_id % {every} = 0 AND embedding IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asking = vectors.where(f"vec_id % {every} = 0 AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asking = keep(asking, "queries")
     blocks = max(1, -(-asking.count() // block))
     path = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"

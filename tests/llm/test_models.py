@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -71,6 +72,26 @@ def test_encoded_tables(spark):
     assert pieces.round_trip(docs.where("false")).count() == 0
 
 
+def made_up_model(rows):
+    """A model file for a unigram search: (piece, score, kind) each; identity normaliser."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    field = lambda n, data: bytes([n << 3 | 2]) + varint(len(data)) + data
+    out = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", x) + b"\x18" + varint(kind)) for p, x, kind in rows)
+    return out + field(2, b"\x18\x01") + field(3, field(1, b"identity") + b"\x18\x01\x20\x01\x28\x01")
+
+
+def test_unused_and_user_defined_pieces_as_the_library_takes_them(tmp_path):
+    import sentencepiece
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.0, 1), ("a", -2.5, 1), ("b", -2.0, 1), ("c", -2.25, 1), ("ab", -3.0, 1), ("abc", -1.0, 5), ("bca", -90.0, 4), ("▁a", -4.0, 1)]
+    file = tmp_path / "made.model"
+    file.write_bytes(made_up_model(rows))
+    theirs, ours = sentencepiece.SentencePieceProcessor(model_file=str(file)), pieces.Vocabulary(str(file))
+    rng = random.Random(1)
+    for text in ["abc", "bca", "abca abc", *("".join(rng.choice("abc ") for _ in range(rng.randrange(12))) for _ in range(200))]:
+        assert np.frombuffer(ours.encode(text)[0], "<u4").tolist() == theirs.encode(text), text
+
+
 def plain_model(rows):
     """Exact counts and learned weights -> probabilities of words after two others, with counts at their levels."""
     toks = [[w.decode() for w in (t or "").encode().lower().split()] + ["\n"] for _, t in rows]
