@@ -36,7 +36,7 @@ class _WordIds:
 
     TAIL, MARK, SPECIAL = b".,;:!?|#$%&*()", "\0", b"<|"
 
-    def __init__(self, file: str, bound: int = 400_000):
+    def __init__(self, file: str, bound: int = 150_000):
         from tokenizers import Tokenizer
 
         self.known: dict[bytes, bytes] = {}
