@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from .common import U64, keep
 
@@ -150,13 +151,13 @@ class Index:
         self.cells = np.searchsorted(f[first], np.arange(len(weight) + 1)).astype(np.int32)
         self.blocks = -(-len(rows) // INDEX_BLOCK)
 
-    def vector(self, f: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features of weight above zero and their weights in the unit vector; words beyond the vocabulary only lengthen it."""
+    def vector(self, f: np.ndarray, tf: np.ndarray, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Features of weight above zero and their weights in the unit vector; words beyond the vocabulary, and what `rest` has of them, only lengthen it."""
         known = int(np.searchsorted(f, len(self.weight)))
         w = 1 + np.log(tf)
         w[:known] *= self.weight[f[:known]]
         w[known:] *= self.unknown
-        size = math.sqrt(float(w @ w))
+        size = math.sqrt(float(w @ w) + rest * self.unknown**2)
         f, w = f[:known], w[:known]
         if not w.all():
             f, w = f[w > 0], w[w > 0]
@@ -215,13 +216,14 @@ class Model:
         return min(1.0, max(0.0, float(np.interp(vote, self.places, self.values)))) if self.index.ids else NO_LABELS
 
     def scorer(self, k: int = NEAREST):
-        """A function from texts to (score, evidence, cosines); equal texts that follow one another are scored once."""
-        tokens, seen = _Tokens(self.vocabulary), {}
+        """A function from (f, tf, rest) of _vectors to (score, evidence, cosines); equal vectors that come soon after one another are scored once."""
+        seen: dict[bytes, tuple[float, list, list]] = {}
 
-        def score(text: str | None) -> tuple[float, list, list]:
-            key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "replace"))
+        def score(f: bytes, tf: bytes, rest: float) -> tuple[float, list, list]:
+            key = xxhash.xxh3_128_digest(b"%d %r " % (len(f), rest) + f + tf)
             if key not in seen:
-                vote, n, s = self.index.vote(*self.index.vector(*tokens.counts(text)), k)
+                own = self.index.vector(np.frombuffer(f, np.int32), np.frombuffer(tf, np.int32), rest)
+                vote, n, s = self.index.vote(*own, k)
                 if len(seen) > 2000:
                     seen.clear()
                 seen[key] = self.calibrated(vote), [self.index.ids[i] for i in n.tolist()], s.tolist()
@@ -230,6 +232,10 @@ class Model:
         return score
 
 
+def _judged(b: pa.RecordBatch, judge) -> list[tuple[float, list, list]]:
+    return [judge(*x) for x in zip(b.column("f").to_pylist(), b.column("tf").to_pylist(), b.column("rest").to_pylist(), strict=True)]
+
+
 def _sampled(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int) -> DataFrame:
     """(doc_id, text, share, fold) of distinct labelled texts, those of smallest hash: share of their labelled documents that are toxic."""
     known = (
@@ -299,33 +305,60 @@ def boost(x: np.ndarray, y: np.ndarray, n1: float, n0: float) -> np.ndarray:
     return np.where((x >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (lift > 1), np.log(np.maximum(lift, 1)), 0.0)
 
 
-def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+def _vectors(docs: DataFrame, vocabulary: Vocabulary, columns: list[str]) -> DataFrame:
+    """(text, ...) -> (row, f, tf, rest): these columns of each row, the numbers of its text's features in the vocabulary, their occurrences, and what its other words add to the square of its length.
+
+    Written once, so that counting and scoring don't cut texts again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _Tokens(vocabulary)
+        for b in _slices(batches):
+            f, tf, rest = [], [], []
+            for text in (b.column("row").field("text") if "text" in columns else b.column("text")).to_pylist():
+                own, times = tokens.counts(text)
+                known = int(np.searchsorted(own, len(vocabulary)))
+                f.append(own[:known].astype(np.int32).tobytes())
+                tf.append(times[:known].astype(np.int32).tobytes())
+                rest.append(float(np.square(1 + np.log(times[known:])).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(f, pa.binary()), pa.array(tf, pa.binary()), pa.array(rest, pa.float64())], names=["row", "f", "tf", "rest"])
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *([] if "text" in columns else ["text"]))
+    kind = StructType([rows.schema["row"], StructField("f", BinaryType()), StructField("tf", BinaryType()), StructField("rest", DoubleType())])
+    return keep(rows.mapInArrow(run, kind), "vectors")
+
+
+def _frequencies(vectors: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """By feature the number of documents that have it, and the number of documents."""
-    size = -(-(len(vocabulary) + 1) // FREQUENCY_PARTS)
+    part = -(-(size + 1) // FREQUENCY_PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, df = _Tokens(vocabulary), np.zeros(size * FREQUENCY_PARTS, np.int64)
+        df = np.zeros(part * FREQUENCY_PARTS, np.int64)
         for b in _slices(batches):
-            for text in b.column("text").to_pylist():
-                f = tokens.counts(text)[0]
-                df[f[: np.searchsorted(f, len(vocabulary))]] += 1
-                df[-1] += 1
+            f = np.frombuffer(b"".join(b.column("f").to_pylist()), np.int32)
+            df[: size] += np.bincount(f, minlength=size)
+            df[-1] += b.num_rows
         if df[-1]:
-            yield pa.RecordBatch.from_arrays([pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array([x.tobytes() for x in df.reshape(FREQUENCY_PARTS, size)], pa.binary())], names=["part", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array([x.tobytes() for x in df.reshape(FREQUENCY_PARTS, part)], pa.binary())], names=["part", "df"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(part, np.int64)
         for x in t.column("df"):
             total += np.frombuffer(x.as_py(), np.int64)
         return pa.table({"part": t.column("part")[:1], "df": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "part int, df binary").groupBy("part").applyInArrow(add, "part int, df binary").orderBy("part").toArrow()
-    df = np.frombuffer(b"".join(parts.column("df").to_pylist()), np.int64) if len(parts) else np.zeros(size * FREQUENCY_PARTS, np.int64)
-    return df[: len(vocabulary)], int(df[-1])
+    parts = vectors.select("f").mapInArrow(count, "part int, df binary").groupBy("part").applyInArrow(add, "part int, df binary").orderBy("part").toArrow()
+    df = np.frombuffer(b"".join(parts.column("df").to_pylist()), np.int64) if len(parts) else np.zeros(part * FREQUENCY_PARTS, np.int64)
+    return df[:size], int(df[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST) -> Model:
-    """A model from the labelled rows of `docs` for which the SQL condition `training` holds.
+    """A model from the labelled rows of `docs` for which the SQL condition `training` holds."""
+    return _learned(docs, labels, training, sample_rows, k, ["doc_id"])[0]
+
+
+def _learned(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int, k: int, columns: list[str]) -> tuple[Model, DataFrame]:
+    """The model, and the vectors of docs with these columns of theirs.
 
     A doc_id labelled more than once is toxic if any of its labels says so; texts that several
     documents have count once, with their share of toxic labels.
@@ -344,7 +377,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_row
     words = sample.select("text").mapInArrow(hashed, "word long").distinct().toArrow().column("word").to_numpy().astype(np.int64).view(U64)
     vocabulary = Vocabulary(np.sort(words), [m for m in marked if m.endswith("-")])
     place = np.array([vocabulary.heads[m] if m.endswith("-") else vocabulary.word(m) for m in marked], np.int64)
-    df, total = _frequencies(docs, vocabulary)
+    vectors = _vectors(docs, vocabulary, columns)
+    df, total = _frequencies(vectors, len(vocabulary))
     idf = np.sqrt(np.log((1 + total) / (1 + df)) + 1e-3)
     unknown = math.sqrt(math.log(1 + total) + 1e-3)
 
@@ -379,7 +413,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_row
     got = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(cross, "vote double, share double").toArrow() if examples else pa.table({"vote": pa.array([], pa.float64()), "share": pa.array([], pa.float64())})
     shared.unpersist()
     index = Index(examples, weights(FOLDS), unknown)
-    return Model(vocabulary, index, *calibration(got.column("vote").to_numpy(), got.column("share").to_numpy(), index.base))
+    return Model(vocabulary, index, *calibration(got.column("vote").to_numpy(), got.column("share").to_numpy(), index.base)), vectors
 
 
 def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
@@ -392,30 +426,33 @@ def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_r
     every score is 0.05. Null labels and labels of unknown documents are left out; repeated rows are scored each;
     an empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, sample_rows, k))
+    model, vectors = _learned(docs, labels, training, sample_rows, k, ["doc_id"])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
         for b in _slices(batches):
-            got = [judge(t) for t in b.column("text").to_pylist()]
+            got = _judged(b, judge)
             s = np.array([x[0] for x in got])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= reject).astype(np.int32)), pa.array([x[1] for x in got], pa.list_(ids)), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "predicted", "evidence", "cosines"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>, cosines array<double>")
+    return vectors.select("row.doc_id", "f", "tf", "rest").mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<{kind}>, cosines array<double>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
     """docs without the rows that are predicted toxic; all columns stay. Rows are judged by their texts, so repeated ids are judged each."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, sample_rows, k))
+    model, vectors = _learned(docs, labels, training, sample_rows, k, docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
         for b in _slices(batches):
-            yield b.filter(pa.array([judge(t)[0] < reject for t in b.column("text").to_pylist()], pa.bool_()))
+            clean = pa.array([x[0] < reject for x in _judged(b, judge)], pa.bool_())
+            yield b.select(["row"]).filter(clean)
 
-    return docs.mapInArrow(run, docs.schema)
+    return vectors.mapInArrow(run, vectors.select("row").schema).select("row.*")
