@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read back: later reads survive lost executors and don't recompute it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -222,7 +222,7 @@ class Model:
         def score(f: bytes, tf: bytes, rest: float) -> tuple[float, list, list]:
             key = xxhash.xxh3_128_digest(b"%d %r " % (len(f), rest) + f + tf)
             if key not in seen:
-                own = self.index.vector(np.frombuffer(f, np.int32), np.frombuffer(tf, np.int32), rest)
+                own = self.index.vector(np.cumsum(np.frombuffer(f, np.int32)), np.frombuffer(tf, np.int32), rest)
                 vote, n, s = self.index.vote(*own, k)
                 if len(seen) > 2000:
                     seen.clear()
@@ -306,7 +306,7 @@ def boost(x: np.ndarray, y: np.ndarray, n1: float, n0: float) -> np.ndarray:
 
 
 def _vectors(docs: DataFrame, vocabulary: Vocabulary, columns: list[str]) -> DataFrame:
-    """(text, ...) -> (row, f, tf, rest): these columns of each row, the numbers of its text's features in the vocabulary, their occurrences, and what its other words add to the square of its length.
+    """(text, ...) -> (row, f, tf, rest): these columns of each row, the steps between the ascending numbers of its text's features in the vocabulary, their occurrences, and what its other words add to the square of its length.
 
     Written once, so that counting and scoring don't cut texts again.
     """
@@ -318,14 +318,14 @@ def _vectors(docs: DataFrame, vocabulary: Vocabulary, columns: list[str]) -> Dat
             for text in (b.column("row").field("text") if "text" in columns else b.column("text")).to_pylist():
                 own, times = tokens.counts(text)
                 known = int(np.searchsorted(own, len(vocabulary)))
-                f.append(own[:known].astype(np.int32).tobytes())
+                f.append(np.diff(own[:known], prepend=0).astype(np.int32).tobytes())  # steps compress well
                 tf.append(times[:known].astype(np.int32).tobytes())
                 rest.append(float(np.square(1 + np.log(times[known:])).sum()))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(f, pa.binary()), pa.array(tf, pa.binary()), pa.array(rest, pa.float64())], names=["row", "f", "tf", "rest"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *([] if "text" in columns else ["text"]))
     kind = StructType([rows.schema["row"], StructField("f", BinaryType()), StructField("tf", BinaryType()), StructField("rest", DoubleType())])
-    return keep(rows.mapInArrow(run, kind), "vectors")
+    return keep(rows.mapInArrow(run, kind), "vectors", "zstd")
 
 
 def _frequencies(vectors: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -335,8 +335,8 @@ def _frequencies(vectors: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(part * FREQUENCY_PARTS, np.int64)
         for b in _slices(batches):
-            f = np.frombuffer(b"".join(b.column("f").to_pylist()), np.int32)
-            df[: size] += np.bincount(f, minlength=size)
+            f = [np.cumsum(np.frombuffer(x, np.int32)) for x in b.column("f").to_pylist()]
+            df[:size] += np.bincount(np.concatenate(f) if f else np.zeros(0, np.int64), minlength=size)
             df[-1] += b.num_rows
         if df[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(range(FREQUENCY_PARTS), pa.int32()), pa.array([x.tobytes() for x in df.reshape(FREQUENCY_PARTS, part)], pa.binary())], names=["part", "df"])
