@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,22 @@ def with_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: in
     return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
 
 
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remembered(name: str, clear: Callable[[], None]) -> None:
+    """Registers how something that a Python worker remembers from task to task is forgotten."""
+    _REMEMBERED[name] = clear
+
+
+def forget(but: str = "") -> None:
+    """A worker that turns to an operator frees what it remembered for others; results don't depend on it."""
+    for name, clear in _REMEMBERED.items():
+        if name != but:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

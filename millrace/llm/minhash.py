@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mix, needs_integer_id, word_chunks
+from .common import U64, WordHashes, forget, mix, needs_integer_id, remembered, word_chunks
 
 SHINGLE_WORDS, BINS, BITS = 5, 512, 4
 #: Rows that one task holds in turn, about, and the most tasks; bounds of ranges are looked up 64 at a time.
 RANGE_ROWS, MAX_RANGES, STEP = 4000, 10_000, 64
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 _WORDS = WordHashes()
+remembered("words", _WORDS.clear)
 
 
 def shingle_hashes(words: list[bytes], k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -103,6 +104,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, bins: int = BINS, bits
     """(doc_id, text, ...) -> (doc_id, fingerprint), a row per row; a null text counts as empty, equal texts have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("words")
         for b in batches:
             out = [pack(sketch(t, k, bins, bits), bits) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "fingerprint"])

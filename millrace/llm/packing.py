@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import needs_integer_id
+from .common import forget, needs_integer_id, remembered
 
 LENGTH, END_ID = 4096, 1
 #: Documents packed together, in expectation; groups are independent of one another and of partitions.
@@ -104,6 +104,9 @@ def _word_ids(file: str) -> _WordIds:
     return _WordIds(file)
 
 
+remembered("ids", _word_ids.cache_clear)
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -120,6 +123,7 @@ def pieces(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("ids")
         words = _word_ids(file or tokenizer_file())
         for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             doc, piece, start, size, crc = [], [], [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import U64, keep
+from .common import U64, forget, keep
 
 #: Distinct labelled texts that are learned from at most (those of smallest text hash); all of the corpus is counted and scored.
 SAMPLE_ROWS = 2560
@@ -312,6 +312,7 @@ def _vectors(docs: DataFrame, vocabulary: Vocabulary, columns: list[str]) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tokens = _Tokens(vocabulary)
         for b in _slices(batches):
             f, tf, rest = [], [], []
