@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, lm, minhash, packing, pieces, simhash, topk, toxicity, urlfilter
+from . import htmltext, linededup, lm, minhash, packing, pieces, resample, simhash, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_chars", "removed", F.size("removed").alias("n_removed"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,6 +66,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, pipeline)
+    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, op11_resample, pipeline)
 }
-ORACLES: dict[str, str] = {"op3_urlfilter": urlfilter.oracle()}
+ORACLES: dict[str, str] = {"op3_urlfilter": urlfilter.oracle(), "op11_resample": resample.oracle()}
