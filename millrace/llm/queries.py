@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, lm, minhash, packing, pieces, resample, simhash, topk, toxicity, urlfilter
+from . import htmltext, linededup, lm, minhash, packing, pieces, resample, simhash, suffixdedup, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -58,6 +58,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffixdedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,6 +72,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, op11_resample, pipeline)
+    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, op11_resample, op12_suffixdedup, pipeline)
 }
 ORACLES: dict[str, str] = {"op3_urlfilter": urlfilter.oracle(), "op11_resample": resample.oracle()}
