@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,6 +44,12 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: A key with more than this part of all rows is hot; so there are fewer hot keys than HOT, which are broadcast.
 HOT = 2000
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, linededup, lm, minhash, packing, pieces, resample, simhash, suffixdedup, topk, toxicity, urlfilter
+from . import htmltext, linededup, lm, minhash, packing, pieces, quantiles, resample, simhash, suffixdedup, topk, toxicity, urlfilter
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.shop_report(*(table(spark, sf_dir, t) for t in ("clicks", "sale_lines", "items")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,6 +76,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, op11_resample, op12_suffixdedup, pipeline)
+    for f in (op1_simhash, op2_minhash, op3_urlfilter, op4_packing, op5_htmltext, op6_topk, op7_pieces, op8_lm, op9_toxicity, op10_linededup, op11_resample, op12_suffixdedup, op13_quantiles, pipeline)
 }
 ORACLES: dict[str, str] = {"op3_urlfilter": urlfilter.oracle(), "op11_resample": resample.oracle()}
