@@ -16,16 +16,15 @@ within a 64-bit hash of their gram.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keep, mix, needs_integer_id, with_counted
+from .common import clean, forget, keep, mix, needs_integer_id, with_counted
 from .deepshallow import classes, deep_shallow
 
 LENGTH, GRAM = 100, 32
@@ -159,7 +158,8 @@ def _all_blocks(placed: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
             by = np.lexsort((p, th, o, b, h))
             h, b, o, th, p = _distinct(h[by], b[by], o[by], th[by], p[by])
             whole = np.r_[False, (h[1:] == h[:-1]) & (b[1:] == b[:-1])]
-            part = np.where(np.isin(h, hot) | whole, b, h)  # hot grams are dealt out by block
+            part = np.where(np.isin(h, hot), b, h)  # hot grams are dealt out by block, copies by place
+            part[whole] = mix((o + p).view(np.uint64)[whole]).view(np.int64)
             cols = (part, h, b, o, th, p)
             for k in range(0, len(h), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (*cols, whole)], names=["part", "h", "b", "o", "th", "p", "whole"])
@@ -313,21 +313,15 @@ def _windows(fetched: DataFrame, length: int) -> DataFrame:
     return later.select("o", "th", "s", (F.col("s") + length).alias("e"))
 
 
-def _clean(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def later_copies(placed: DataFrame, length: int = LENGTH, large: int = LARGE, hot: int = HOT, here: int = HOT_HERE, few: int = FEW) -> DataFrame:
     """(o, th, text) -> (o, th, s, e): byte ranges, which may overlap, whose union is all that is covered by windows that start earlier as well."""
     if not GRAM <= length <= SPAN:
         raise ValueError(f"length must lie between {GRAM} and {SPAN}")
     grams = _hot_grams(placed, length, hot, here, few)
     found = keep(_met(_all_blocks(placed, length, grams), grams), "met")
-    _clean(placed.sparkSession)
+    clean(placed.sparkSession)
     fetched = keep(_fetched(placed, found.where("n > 0"), length), "fetched")
-    _clean(placed.sparkSession)
+    clean(placed.sparkSession)
     first = F.shiftright("p", 2 * BITS)
     copies = found.where("n = 0").select("o", "th", first.alias("s"), (first + F.shiftright("p", BITS).bitwiseAND(F.lit(SPAN)) + length).alias("e"))
     out = copies.unionByName(_sorted_marks(fetched.where(F.col("n") <= large), length))
@@ -346,7 +340,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, column: str = "text", lar
     """
     placed, several = _ordered(docs, column)
     marks = later_copies(placed, length, large, hot, here, few).groupBy("o", "th").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-    _clean(docs.sparkSession)
+    clean(docs.sparkSession)
     th = F.xxhash64(column) if several else F.lit(0).cast("long")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("o"), th.alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     rows = rows.join(marks, ["o", "th"], "left").select("doc", "marks")
