@@ -115,13 +115,13 @@ class Api:
         return companies.detail(self._table("companies"), self._table("funding_rounds"), self.public(self.docs), slug)
 
     def trends(self, week: str, limit: int = 20) -> DataFrame:
-        return trends.rising(self.pipeline.spark.read.parquet(f"{self.pipeline.path}/topic_weekly"), week, limit)
+        return trends.rising(self.pipeline.parts("topic_weekly", "week").read(), week, limit)
 
     def velocity(self, kind: str = "repo", days: int = 14, limit: int = 20) -> DataFrame:
         """What gains fastest, with its documents where they exist."""
         if kind not in trends.VELOCITY_METRIC:
             raise ValueError(f"no velocity of {kind!r}")
-        snaps = self.pipeline.spark.read.parquet(f"{self.pipeline.path}/metric_snapshots").where(F.col("type") == kind)
+        snaps = self.pipeline.parts("metric_snapshots", "date").read().where(F.col("type") == kind)
         rows = trends.velocity(snaps, trends.VELOCITY_METRIC[kind], trends.VELOCITY_FLOOR[kind], self.now.date(), days, limit)
         return rows.join(self.docs.select(F.col("doc_id"), "title", "link_url"), "doc_id", "left").orderBy(F.desc("gained"), "doc_id")
 

@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import week_of
+from ..functions.dates import previous_weeks, week_of
 from ..functions.doctext import FIELDS, document_text, document_title, with_fields
 from ..operators import bm25, companies, entities, funding, graph, store, trends
 from ..operators.models import Embedder, HashingEmbedder, PatternRecogniser, Recogniser
+from ..operators.parts import PartTable
 
 STAGES = ("refresh", "entities", "embed", "index", "snapshots", "funding", "companies", "trends", "graph")
 DERIVED = {"entities": entities.ENTITIES, "entities_hash": "string", "embedding": "array<float>", "embedding_hash": "string", "funding_hash": "string", "funding_extraction_version": "string"}
@@ -36,6 +37,9 @@ class Pipeline:
     def table(self, name: str) -> store.VersionedTable:
         return store.VersionedTable(self.spark, f"{self.path}/{name}")
 
+    def parts(self, name: str, by: str) -> PartTable:
+        return PartTable(self.spark, f"{self.path}/{name}", by)
+
     def documents(self) -> DataFrame:
         docs = with_fields(self.table("documents").read(), FIELDS | DERIVED)
         return docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.sha1("doc_key"))
@@ -84,7 +88,7 @@ class Pipeline:
 
     def snapshots(self, force: bool = False) -> dict:
         taken = store.snapshots(self.documents(), self.today)
-        store.replace_partitions(taken, f"{self.path}/metric_snapshots", "date")
+        self.parts("metric_snapshots", "date").replace(taken, [self.today], ("doc_id",))
         return {r["type"]: r["count"] for r in taken.groupBy("type").count().collect()}
 
     def funding(self, force: bool = False) -> dict:
@@ -113,8 +117,9 @@ class Pipeline:
 
     def trends(self, force: bool = False) -> dict:
         week = week_of(self.today)
-        weekly = trends.topic_weekly(self.documents(), week)
-        store.replace_partitions(weekly, f"{self.path}/topic_weekly", "week")
+        table = self.parts("topic_weekly", "week")
+        table.replace(trends.topic_weekly(self.documents(), week), [week, *previous_weeks(week, trends.TRAILING_WEEKS - 1)], ("topic",))
+        weekly = table.read()
         return {"rows": weekly.count(), "rising": trends.rising(weekly, week, 10).count()}
 
     def graph(self, force: bool = False) -> dict:

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.parts import BucketTable
 from ..operators.store import VersionedTable, upsert
 
 
-def upsert_stream(prepared: DataFrame, table: VersionedTable, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Upsert each micro-batch of prepared documents into a versioned table.
+def upsert_stream(prepared: DataFrame, table: VersionedTable | BucketTable, checkpoint: str, available_now: bool = True, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)) -> StreamingQuery:
+    """Upsert each micro-batch of prepared documents into a table.
 
-    A batch that is run again finds its rows unchanged, so repeats and late items are safe.
+    In a table of buckets a batch rewrites just those its keys fall into, and its number is committed with them: a batch that is run again after
+    a crash is not merged twice. A versioned table is rewritten whole; there a repeated batch finds its rows unchanged.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
+        now = clock()
+        if isinstance(table, BucketTable):
+            table.merge(batch, now, f"{checkpoint}#{number}")
+            return
         if batch.isEmpty():
             return
-        now = datetime.now(timezone.utc)
         existing = table.read() if table.version() is not None else batch.limit(0)
         table.replace(upsert(existing, batch, now).drop("outcome"))
 
