@@ -11,7 +11,7 @@ have goes on by a tree of merges with bounded fan-in, pruned the same way (`TREE
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ BLOCKS, TREE = 0.004, 0.004
 #: A summary that is kept has at least LEAST points, or all there are, and at most MOST.
 LEAST, MOST = 10, 1000
 #: Bits of x that one level of exact counting takes.
-DIGIT = 8
+DIGIT = 13
 
 Points = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -113,7 +113,7 @@ class Hierarchy:
         return merged(parts)
 
 
-def _runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Where a new key begins, in a batch that is sorted by the keys; keys are not null."""
     new = np.zeros(batch.num_rows, bool)
     new[0] = True
@@ -123,93 +123,156 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _emit(keys: list[str], values: list[list], points: list[Points]) -> pa.RecordBatch:
-    sizes = np.array([len(p[0]) for p in points])
-    at = pa.array(np.repeat(np.arange(len(points)), sizes))
-    cols = [pa.concat_arrays(v).take(at) for v in values]
-    return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.concatenate([p[k] for p in points])) for k in range(3))], names=[*keys, "x", "lo", "up"])
+def _exact_runs(x: np.ndarray, c: np.ndarray, run: np.ndarray, runs: int) -> tuple[np.ndarray, Points]:
+    """Exact summaries of many groups at once: values x, each of c rows, of groups numbered in `run` -> (points of each group, all points)."""
+    order = np.lexsort((x, run))
+    x, c, run = x[order], c[order], run[order]
+    first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (run[1:] != run[:-1])])
+    own = run[first]
+    upto = np.cumsum(c)[np.r_[first[1:], len(x)] - 1]
+    before = np.r_[0, upto[:-1]]
+    base = np.r_[0, np.cumsum(np.bincount(run, weights=c, minlength=runs).astype(np.int64))][own]
+    return np.bincount(own, minlength=runs), (x[first], upto - base, before - base + 1)
 
 
-def _by_group(rows: DataFrame, keys: list[str], begin: Callable, end: Callable) -> DataFrame:
-    """Rows sorted by keys within partitions -> points of each group; begin() makes what add()s the runs of a group, end(it) gives its points."""
-    kinds = [(c, rows.schema[c].dataType.simpleString()) for c in keys]
-    values = [c for c in rows.columns if c not in keys]
+def _rows_of(keys: list[pa.Array], sizes: np.ndarray, points: Points, names: list[str]) -> pa.RecordBatch:
+    """A row a summary: its keys and three arrays."""
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    return pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, pa.array(p, pa.int64())) for p in points)], names=[*names, "x", "lo", "up"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        open_, key, own, points, size = None, None, [[] for _ in keys], [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            starts = _runs(b, keys)
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in values]
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
-                if a or key != tuple(b.column(c)[0] for c in keys):
-                    if open_ is not None:
-                        points.append(end(open_))
-                        size += len(points[-1][0])
-                    open_ = begin()
-                    for k, c in enumerate(keys):
-                        own[k].append(b.column(c).slice(a, 1))
-                open_.add(*(c[a:z] for c in cols))
-            key = tuple(b.column(c)[b.num_rows - 1] for c in keys)
-            if size > 20_000:
-                yield _emit(keys, [v[: len(points)] for v in own], points)
-                own, points, size = [v[len(points) :] for v in own], [], 0
-        if open_ is not None:
-            points.append(end(open_))
-            yield _emit(keys, own, points)
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*kinds, ("x", "bigint"), ("lo", "bigint"), ("up", "bigint")]))
+def _listed(keys: list[list[pa.Array]], points: list[Points], names: list[str]) -> pa.RecordBatch:
+    return _rows_of([pa.concat_arrays(k) for k in keys], np.array([len(p[0]) for p in points]), tuple(np.concatenate(c) for c in zip(*points)), names)
 
 
-class _Pile:
-    """The points of several summaries of one group, which lie one after the other: a summary ends where its number changes."""
+def _schema(rows: DataFrame, keys: list[str]) -> str:
+    return ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), *(f"{c} array<bigint>" for c in ("x", "lo", "up"))])
 
-    def __init__(self):
-        self.cols: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, *cols: np.ndarray) -> None:
-        self.cols.append(cols)
+def _local(rows: DataFrame, keys: list[str], error: float, block: int, most: int) -> DataFrame:
+    """(keys, x) sorted by keys within partitions -> a summary of each group in each partition.
+
+    Groups that lie within a batch and fit into a block are exact, and made all at once; larger ones go through a hierarchy.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        open_, key = None, None  # the group that may go on in the next batch
+
+        def closed():
+            return _listed([[k] for k in key], [pruned(open_.summary(), most)], keys)
 
-    def parts(self) -> list[Points]:
-        number, x, lo, up = (np.concatenate(c) for c in zip(*self.cols))
-        edges = np.flatnonzero(number[1:] != number[:-1]) + 1
-        return list(zip(np.split(x, edges), np.split(lo, edges), np.split(up, edges)))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts, x = _starts(b, keys), b.column("x").to_numpy()
+            ends = np.r_[starts[1:], b.num_rows]
+            first = 0
+            if open_ is not None:
+                if all(k[0] == b.column(c)[0] for k, c in zip(key, keys)):
+                    open_.add(x[: ends[0]])
+                    first = 1
+                if not first or len(starts) > 1:
+                    yield closed()
+                    open_ = None
+            last = len(starts) - 1
+            if first <= last:
+                small = np.arange(first, last)
+                small = small[(ends - starts)[small] <= block]
+                if len(small):
+                    sizes = (ends - starts)[small]
+                    at = np.repeat(starts[small] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+                    own, points = _exact_runs(x[at], np.ones(len(at), np.int64), np.repeat(np.arange(len(small)), sizes), len(small))
+                    yield _rows_of([b.column(c).take(pa.array(starts[small])) for c in keys], own, points, keys)
+                for k in [*np.setdiff1d(np.arange(first, last), small).tolist(), last]:
+                    open_, key = Hierarchy(error, block), [b.column(c).slice(int(starts[k]), 1) for c in keys]
+                    open_.add(x[starts[k] : ends[k]])
+                    if k < last:
+                        yield closed()
+        if open_ is not None:
+            yield closed()
+
+    return rows.mapInArrow(run, _schema(rows, keys))
+
+
+def _merge(summaries_: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The summaries of each key merged, and pruned to `most` points; a key has a bounded number of them."""
+    dealt = summaries_.select(*keys, "x", "lo", "up").repartition(*keys).sortWithinPartitions(*keys)
+
+    def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        b = rows.combine_chunks().to_batches()[0]
+        starts = _starts(b, keys)
+        x, lo, up = (b.column(c).flatten().to_numpy() for c in ("x", "lo", "up"))
+        sizes = b.column("x").value_lengths().to_numpy()
+        edges = np.r_[0, np.cumsum(sizes)]
+        c = lo - up + 1
+        loose = np.add.reduceat(c, edges[:-1]) != lo[edges[1:] - 1]  # its points don't stand for all its rows
+        number = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, b.num_rows]))  # of each summary's key
+        mixed = np.zeros(len(starts), bool)
+        np.logical_or.at(mixed, number[loose], True)
+        of = np.repeat(number, sizes)
+        take = ~mixed[of]
+        tight = np.flatnonzero(~mixed)
+        if len(tight):
+            renumbered = np.cumsum(~mixed) - 1
+            own, points = _exact_runs(x[take], c[take], renumbered[of[take]], len(tight))
+            fits = own <= most
+            inside = np.repeat(fits, own)
+            if fits.any():
+                yield _rows_of([b.column(k).take(pa.array(starts[tight[fits]])) for k in keys], own[fits], tuple(p[inside] for p in points), keys)
+            cuts = np.r_[0, np.cumsum(own)]
+            if not fits.all():
+                wide = np.flatnonzero(~fits)
+                yield _listed([[b.column(k).slice(int(starts[tight[i]]), 1) for i in wide] for k in keys], [pruned(tuple(p[cuts[i] : cuts[i + 1]] for p in points), most) for i in wide], keys)
+        rest = np.flatnonzero(mixed)
+        if len(rest):
+            stops = np.r_[starts[1:], b.num_rows]
+            parts = [[tuple(p[edges[r] : edges[r + 1]] for p in (x, lo, up)) for r in range(starts[k], stops[k])] for k in rest]
+            yield _listed([[b.column(k).slice(int(starts[i]), 1) for i in rest] for k in keys], [pruned(merged(p), most) for p in parts], keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cut = int(_starts(b, keys)[-1])  # the last key may go on
+            if cut or held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in keys):
+                held.append(b.slice(0, cut))
+                yield from done(pa.Table.from_batches([h for h in held if h.num_rows]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
-def _merge(points: DataFrame, keys: list[str], number: str, most: int | None) -> DataFrame:
-    """(keys, number, x, lo, up) -> (keys, x, lo, up): the summaries of a key merged, and pruned to `most` points."""
-    dealt = points.select(*keys, number, "x", "lo", "up").repartition(*keys).sortWithinPartitions(*keys, number, "x")
-    return _by_group(dealt, keys, _Pile, lambda pile: pruned(merged(pile.parts()), most))
+    return dealt.mapInArrow(run, _schema(summaries_, keys))
 
 
 def summaries(rows: DataFrame, keys: list[str], column: str = "x", most: int = MOST // 2, blocks: float = BLOCKS, tree: float = TREE, block: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """(keys ..., x long) -> (keys ..., x, lo, up): the points of a summary of each group.
+    """(keys ..., x long) -> (keys ..., x, lo, up): a row with the points of a summary for each group.
 
     Ranks asked of it err by at most blocks + tree + 1 / (most - 2) of a group's rows, whatever their order and number.
     Keys and x must not be null. An empty table gives an empty one.
     """
     own = rows.select(*keys, F.col(column).cast("long").alias("x")).sortWithinPartitions(*keys)
-    parts = _by_group(own, keys, lambda: Hierarchy(blocks, block), lambda h: pruned(h.summary(), most))
-    parts = keep(parts.withColumn("_number", F.spark_partition_id()), "parts")
+    parts = keep(_local(own, keys, blocks, block, most).withColumn("_number", F.spark_partition_id()), "parts")
     last, level = parts.agg(F.max("_number")).first()[0] or 0, 0
     while last >= fan:
         parts = parts.withColumn("_node", F.floor(F.col("_number") / fan).cast("int"))
-        parts = keep(_merge(parts, [*keys, "_node"], "_number", local_points(tree, level)).withColumnRenamed("_node", "_number"), "tree")
+        parts = keep(_merge(parts, [*keys, "_node"], local_points(tree, level)).withColumnRenamed("_node", "_number"), "tree")
         last, level = last // fan, level + 1
-    return _merge(parts, keys, "_number", most)
+    return _merge(parts, keys, most)
 
 
-def merge_groups(points: DataFrame, keys: list[str], number: str, most: int = MOST // 2) -> DataFrame:
-    """(keys, number, x, lo, up) -> (keys, x, lo, up): the summaries numbered 0, 1, ... of each key as one, made of these points only; their number must be bounded."""
-    return _merge(points, keys, number, most)
+def merge_groups(points: DataFrame, keys: list[str], most: int = MOST // 2) -> DataFrame:
+    """The summaries of each key as one, made of their points only; a key must have a bounded number of them."""
+    return _merge(points, keys, most)
 
 
 class Ranks:
-    """Exact counts of x by group, as digits: `table[k]` has a row for each prefix of 8 * k bits less that occurs, how many rows it has, and how many of its siblings lie before.
+    """Exact counts of x by group, as digits: `table[k]` has a row for each prefix of DIGIT * k bits less that occurs, how many rows it has, and how many of its siblings lie before.
 
-    A group's rows of one prefix differ in 8 bits, so that no window has more than 256 rows, however many a group has.
+    Siblings differ in DIGIT bits, so that no window has more than 8,192 rows, however many a group has.
     """
 
     def __init__(self, counts: DataFrame, keys: list[str]):
@@ -250,15 +313,28 @@ class Ranks:
 
 
 def _asked(points: DataFrame, keys: list[str], parts: int, least: int) -> DataFrame:
-    """Points of summaries -> (keys, i, n, target, points, answer) for i = 1 .. parts - 1, of groups with `least` rows or more."""
-    group = Window.partitionBy(*keys)
-    rows = points.withColumns({"n": F.max("lo").over(group), "points": F.count(F.lit(1)).over(group)}).where(F.col("n") >= least)
-    target = lambda i: F.expr(f"(n * {i} + {parts - 1}) div {parts}")
-    error = lambda i: F.greatest(F.col("up") - target(i), target(i) - F.col("lo"), F.lit(0).cast("long"))
-    best = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.max("points").alias("points"), *(F.min_by("x", F.struct(error(i), "x")).alias(f"_x{i}") for i in range(1, parts)))
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("answer")) for i in range(1, parts)))).alias("r")
-    out = best.select(*keys, "n", "points", each).select(*keys, "r.i", "n", "points", "r.answer")
-    return out.withColumn("target", target("i"))
+    """Summaries -> (keys, i, n, target, points, answer) for i = 1 .. parts - 1, of groups with `least` rows or more: the point that may err least, of equals the smaller."""
+    kinds = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, lo, up = (b.column(c).flatten().to_numpy() for c in ("x", "lo", "up"))
+            sizes = b.column("x").value_lengths().to_numpy()
+            edges = np.r_[0, np.cumsum(sizes)]
+            n = lo[edges[1:] - 1]
+            asked = np.flatnonzero(n >= least)
+            answers, targets = [], []
+            for k in asked.tolist():
+                a, z = edges[k], edges[k + 1]
+                t = np.array([[-(-i * int(n[k]) // parts)] for i in range(1, parts)])
+                answers.append(x[a + np.argmin(np.maximum(up[a:z] - t, t - lo[a:z]), axis=1)])
+                targets.append(t[:, 0])
+            if answers:
+                at = pa.array(np.repeat(asked, parts - 1))
+                cols = [np.tile(np.arange(1, parts, dtype=np.int32), len(asked)), np.repeat(n[asked], parts - 1), np.concatenate(targets), np.repeat(sizes[asked], parts - 1).astype(np.int64), np.concatenate(answers)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), *map(pa.array, cols)], names=[*keys, "i", "n", "target", "points", "answer"])
+
+    return points.select(*keys, "x", "lo", "up").mapInArrow(run, f"{kinds}, i int, n long, target long, points long, answer long")
 
 
 def report(rows: DataFrame, keys: list[str], batches: int = 4, parts: int = 4, least: int = 20, most: int = MOST // 2) -> DataFrame:
@@ -270,7 +346,7 @@ def report(rows: DataFrame, keys: list[str], batches: int = 4, parts: int = 4, l
     clean(rows.sparkSession)
     every = [*keys, "batch"]
     single = keep(summaries(rows, every, most=most), "batches")
-    whole = merge_groups(single, keys, "batch", most).withColumn("batch", F.lit(-1))
+    whole = merge_groups(single, keys, most).withColumn("batch", F.lit(-1))
     points = keep(single.unionByName(whole), "points")
     counts = keep(rows.groupBy(*every, "x").agg(F.count(F.lit(1)).alias("c")), "counts")
     clean(rows.sparkSession)
