@@ -12,7 +12,7 @@ from ..functions import dates
 from ..operators import trends
 from ..operators.parts import BucketTable, PartTable
 from ..operators.store import work_dir
-from ..streaming import ingest
+from ..streaming import ingest, limits
 from .registry import query, table
 
 FIRST = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -71,3 +71,10 @@ def trends_recount(spark: SparkSession, d: str) -> DataFrame:
     left = events.where("week = '2024-W02' AND user_id % 2 = 0")
     kept.replace(trends.count_weekly(left), ["2024-W02", "2024-W03"], ("topic",))
     return kept.read().select("topic", "week", "doc_count")
+
+
+@query()
+def rate_limit_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks judged as they arrive, two a minute for each client: late and repeated ones against the log of those accepted."""
+    clicks = table(spark, d, "clicks").select("click_id", "client_id", "ts", "arrived_at")
+    return limits.limit_arrivals(clicks, "client_id", "ts", "arrived_at", "click_id", 2, 60, 600)
