@@ -12,6 +12,7 @@ from ..functions import dates
 from ..operators import trends
 from ..operators.parts import BucketTable, PartTable
 from ..operators.store import work_dir
+from ..sources.base import register
 from ..streaming import ingest, limits
 from .registry import query, table
 
@@ -78,3 +79,19 @@ def rate_limit_arrivals(spark: SparkSession, d: str) -> DataFrame:
     """Clicks judged as they arrive, two a minute for each client: late and repeated ones against the log of those accepted."""
     clicks = table(spark, d, "clicks").select("click_id", "client_id", "ts", "arrived_at")
     return limits.limit_arrivals(clicks, "client_id", "ts", "arrived_at", "click_id", 2, 60, 600)
+
+
+@query("SELECT doc_id::VARCHAR AS doc_key, source, sha1(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+def feed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as saved payloads of feeds, one a language, played as a stream of feeds into a table of buckets."""
+    at = scratch(spark, "feeds")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    item = F.to_json(F.struct(F.col("doc_id").alias("id"), "source", F.sha1("text").alias("hash")))
+    docs.select(F.concat(F.lit("feed_"), F.coalesce("lang", F.lit("none"))).alias("feed"), item.alias("value")).write.partitionBy("feed").text(f"{at}/saved")
+    feeds = sorted(r[0] for r in docs.select(F.concat(F.lit("feed=feed_"), F.coalesce("lang", F.lit("none")))).distinct().collect())  # a feed a language
+    register(spark)
+    stream = spark.readStream.format("feed").option("name", ",".join(feeds)).option("payloads", f"{at}/saved").option("log", f"{at}/log").load()
+    read = stream.select(F.from_json("value", "id long, source string, hash string").alias("r"))
+    kept = BucketTable(spark, f"{at}/documents", buckets=16)
+    ingest.upsert_stream(read.select(F.col("r.id").cast("string").alias("doc_key"), "r.source", F.col("r.hash").alias("content_hash")), kept, f"{at}/checkpoint", clock=lambda: FIRST).awaitTermination()
+    return kept.read().select("doc_key", "source", "content_hash")

@@ -18,7 +18,7 @@ from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 AGENT = "millrace/1.0"
 
@@ -80,34 +80,14 @@ class FeedReader(DataSourceReader):
         return [FeedPartition(n, self.options.get("since")) for n in self.options["name"].split(",")]
 
     def read(self, partition: FeedPartition) -> Iterator[tuple]:
-        from .registry import build_sources
+        from .stream import sources_of
 
-        source = build_sources()[partition.name]
+        source = sources_of(self.options)[partition.name]
         since = datetime.fromisoformat(partition.since) if partition.since else source.default_since()
         for item in source.fetch(since):
             yield partition.name, json.dumps(item)
 
 
-class FeedStreamReader(SimpleDataSourceStreamReader):
-    """Polls feeds: the offset is the time up to which they were read."""
-
-    def __init__(self, options: dict):
-        self.options = options
-
-    def initialOffset(self) -> dict:
-        return {"until": self.options.get("since", "1970-01-01T00:00:00+00:00")}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = datetime.now(timezone.utc).isoformat()
-        options = {**self.options, "since": start["until"]}
-        reader = FeedReader(options)
-        return iter([row for p in reader.partitions() for row in reader.read(p)]), {"until": now}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        reader = FeedReader({**self.options, "since": start["until"]})
-        return (row for p in reader.partitions() for row in reader.read(p))
-
-
 class FeedDataSource(DataSource):
     """spark.read.format("feed").option("name", "hf_models,hf_papers").load() -> (source, value)."""
 
@@ -121,7 +101,9 @@ class FeedDataSource(DataSource):
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> FeedStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        from .stream import FeedStreamReader
+
         return FeedStreamReader(dict(self.options))
 
 
