@@ -37,14 +37,13 @@ def build(docs: DataFrame, text: str = "text", written: bool = False) -> Index:
     """
     kept = [c for c in ("type",) if c in docs.columns]
     tokens = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select("doc_id", *kept, tokenize(text).alias("tokens"))
-    # a text is cut into tokens once: its length goes with them, and a document without tokens has a row without a term
-    counted = tokens.select("doc_id", *kept, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).groupBy("term", "doc_id", *kept, "length").agg(F.count("term").alias("tf"))
+    # a text is cut into tokens once: its length goes with them, a document without tokens has a row without a term, and one row of each document is its first
+    each = tokens.select("doc_id", *kept, F.size("tokens").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
+    counted = each.groupBy("term", "doc_id", *kept, "length").agg(F.count("term").alias("tf"), F.max(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("first"))
     if written:
         counted = keep(counted, "postings")
     postings = counted.where("term IS NOT NULL").select("term", "doc_id", "tf", "length")
-    lengths = counted.groupBy("doc_id", *kept).agg(F.first("length").alias("length")).select("doc_id", *kept, "length")
-    if written:
-        lengths = keep(lengths, "lengths")
+    lengths = counted.where("first").select("doc_id", *kept, "length")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     by_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus)).select("term", "df", raw.alias("raw"))

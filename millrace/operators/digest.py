@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import money
 from ..functions.citations import validate
 from ..functions.doctext import document_context, document_title, document_url, label_for
 from .models import ExtractiveWriter, LanguageModel
+from .parts import PartTable
 
 PROMPT_VERSION = "digest-v1"
 #: Sections in order, with their titles; the most of each, or of a type in the last.
@@ -127,3 +129,59 @@ def generate(docs: DataFrame, rounds: DataFrame, week: str, start: datetime, end
         "week": week, "week_start": start, "week_end": end, "prompt_version": PROMPT_VERSION, "input_hash": key,
         "input_doc_ids": [s["doc_id"] for s in listed], "counts": {k: counts.get(k, 0) for k, _ in SECTIONS}, "sections": sections, "warnings": warnings,
     }, "generated"
+
+
+#: A digest as it is stored: one row a week.
+STORED = (
+    "week string, week_start timestamp, week_end timestamp, generated_at timestamp, prompt_version string, input_hash string, input_doc_ids array<string>, counts map<string,bigint>, "
+    "sections array<struct<key:string,title:string,markdown:string,bullets:bigint,sources:array<struct<n:bigint,doc_id:string,type:string,title:string,url:string,event_at:timestamp>>>>, warnings map<string,bigint>"
+)
+
+
+class DigestStore:
+    """Digests by week. One is written only if its inputs or its prompts differ from those of the stored one; the latest version of a week stays readable while it is replaced."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.table = spark, PartTable(spark, path, "week")
+
+    def read(self) -> DataFrame:
+        return self.table.read() if self.table.exists() else self.spark.createDataFrame([], STORED)
+
+    def put(self, made: dict, generated_at: datetime, force: bool = False) -> str:
+        """Store a digest of generate(): stored, or unchanged where the week has one of the same inputs and prompts."""
+        if not force and self.table.exists():
+            old = self.table.read(parts=[made["week"]]).select("input_hash", "prompt_version").first()
+            if old is not None and (old["input_hash"], old["prompt_version"]) == (made["input_hash"], made["prompt_version"]):
+                return "unchanged"
+        names = [f.name for f in StructType.fromDDL(STORED)]
+        row = made | {"generated_at": generated_at, "input_doc_ids": [str(i) for i in made["input_doc_ids"]], "sections": [s | {"sources": [x | {"doc_id": str(x["doc_id"])} for x in s["sources"]]} for s in made["sections"]]}
+        self.table.replace(self.spark.createDataFrame([tuple(row[n] for n in names)], STORED), [made["week"]], ("week",), ("input_hash",))
+        return "stored"
+
+    def make(self, docs: DataFrame, rounds: DataFrame, week: str, start: datetime, end: datetime, generated_at: datetime, writer: LanguageModel | None = None, force: bool = False) -> str:
+        """Generate a week's digest and store it: stored, unchanged, or empty. An unchanged week costs a selection and no call of the writer."""
+        existing = self.table.read(parts=[week]) if self.table.exists() else None
+        made, how = generate(docs, rounds, week, start, end, existing, writer, force)
+        return how if how != "generated" else self.put(made, generated_at, force)
+
+    def list(self, limit: int = 12) -> DataFrame:
+        """(week, week_start, week_end, generated_at, counts, bullets) of the newest weeks; bullets are those of all sections."""
+        if not 1 <= limit <= 52:
+            raise ValueError("limit: 1 to 52")
+        return self.summaries().orderBy(F.desc("week_start")).limit(limit)
+
+    def summaries(self) -> DataFrame:
+        bullets = F.aggregate("sections", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s["bullets"], F.lit(0)))
+        return self.read().select("week", "week_start", "week_end", "generated_at", "counts", bullets.alias("bullets"))
+
+    def latest(self) -> dict:
+        row = self.read().orderBy(F.desc("week_start")).first()
+        if row is None:
+            raise KeyError("no digest has been generated yet")
+        return row.asDict(recursive=True)
+
+    def week(self, week: str) -> dict:
+        row = self.table.read(parts=[week]).first() if self.table.exists() else None
+        if row is None:
+            raise KeyError(f"no digest for {week}")
+        return row.asDict(recursive=True)

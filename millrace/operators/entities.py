@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .models import PatternRecogniser, Recogniser
+from .shared import keep
 
 #: Types of quantities, and generic words, that make bad graph nodes.
 EXCLUDED_TYPES = ("CARDINAL", "ORDINAL", "QUANTITY", "DATE", "TIME", "PERCENT", "MONEY")
@@ -18,8 +19,8 @@ GENERIC = (
     "startup", "startups", "platform", "technology", "technologies",
     "software", "data", "cloud", "open", "first", "one", "new", "series",
 )
-#: Documents that an entity's list holds at most.
-MAX_LISTED = 10_000
+#: Documents that an entity's list holds at most, and links a page of those that have more.
+MAX_LISTED, PAGE = 10_000, 1000
 EDGE = r""" .,;:–—"'()\[\]-"""
 ENTITIES = "array<struct<entity_text:string,entity_type:string,count:bigint>>"
 
@@ -80,8 +81,8 @@ def canonical(edges: DataFrame, listed: int = MAX_LISTED) -> DataFrame:
 
     The shown name is the one that most entries have, then the smallest. Two levels of
     aggregation, so that an entity of very many documents is counted in parts. The list of documents is
-    null for entities of more than `listed` documents, which would not fit into a row; all
-    links are in the flat edges.
+    null for entities of more than `listed` documents, which would not fit into a row; `paged_links` has
+    the links of all of them.
     """
     by_name = edges.groupBy("entity_id", "entity_type", "entity_text").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.coalesce("count", F.lit(1))).alias("mentions"))
     # the smallest name of those with most entries: entries are negated, so that a minimum finds it
@@ -93,6 +94,34 @@ def canonical(edges: DataFrame, listed: int = MAX_LISTED) -> DataFrame:
     return named.join(counts, "entity_id").join(lists, "entity_id", "left").select("entity_id", "entity_text", "entity_type", "mention_count", "document_count", "mentioned_in")
 
 
+def paged_links(edges: DataFrame, size: int = PAGE) -> DataFrame:
+    """(entity_id, page, first_doc, last_doc, links): every link of every entity, `size` of them a page, in the order of doc_id.
+
+    Links are ranged by entity and document, so that an entity of any size lies in as many tasks as it takes; a link's number is its place in
+    its task plus what the tasks before have of the entity. The pages of an entity are full but for the last.
+    """
+    links = edges.select("entity_id", "doc_id", "type").distinct().repartitionByRange("entity_id", "doc_id").sortWithinPartitions("entity_id", "doc_id", "type")
+    links = keep(links.withColumn("_task", F.spark_partition_id()), "links")
+    here = links.groupBy("entity_id", "_task").agg(F.count(F.lit(1)).alias("n"))
+    tasks = Window.partitionBy("entity_id").orderBy("_task")
+    # an entity goes on into a task for at most two entities a task, the first and the last, so this is no larger than twice the number of tasks
+    before = here.withColumn("_before", F.coalesce(F.sum("n").over(tasks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("_before > 0").select("entity_id", "_task", "_before")
+    place = F.row_number().over(Window.partitionBy("entity_id", "_task").orderBy("doc_id", "type")) - 1 + F.coalesce("_before", F.lit(0))
+    numbered = links.join(F.broadcast(before), ["entity_id", "_task"], "left").withColumn("page", F.floor(place / F.lit(size)).cast("int"))
+    link = F.struct("doc_id", "type")
+    return numbered.groupBy("entity_id", "page").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.array_sort(F.collect_list(link)).alias("links"))
+
+
+def page_of(pages: DataFrame, entity_id: str, page: int) -> DataFrame:
+    """(doc_id, type) of one page of an entity: a row of a table of pages, for joins with documents page by page."""
+    return pages.where((F.col("entity_id") == entity_id) & (F.col("page") == page)).select(F.explode("links").alias("l")).select("l.*")
+
+
+def documents_of(pages: DataFrame, docs: DataFrame, entity_id: str, page: int) -> DataFrame:
+    """The documents of one page of an entity, in the order of doc_id; a page is small enough to be broadcast."""
+    return docs.join(F.broadcast(page_of(pages, entity_id, page).select("doc_id").distinct()), "doc_id", "left_semi").orderBy("doc_id")
+
+
 def top_entities(canonical_: DataFrame, limit: int = 10, kind: str | None = None) -> DataFrame:
     found = canonical_ if kind is None else canonical_.where(F.col("entity_type") == kind)
     return found.orderBy(F.desc("mention_count"), "entity_text").limit(limit)

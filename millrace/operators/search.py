@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bm25, dense, fusion, graph
+from .blocks import Blocks
 
 CANDIDATES, SEEDS = 20, 5
 WIDEN, MAX_DAYS = 4, 365
@@ -48,7 +49,7 @@ class Engine:
     """What a search reads: documents, a lexical index, vectors with an embedder for queries, and entity edges."""
 
     docs: DataFrame
-    index: bm25.Index | None = None
+    index: bm25.Index | Blocks | None = None
     vectors: DataFrame | None = None
     embed: Callable[[str], Sequence[float]] | None = None
     edges: DataFrame | None = None
@@ -59,7 +60,8 @@ class Engine:
         allowed = (filters or Filters()).allowed(self.docs)
         out: dict[str, DataFrame] = {}
         if keyword and self.index is not None:
-            out["keyword"] = bm25.search(self.index, query, candidates, allowed=allowed)
+            lexical = self.index.search if isinstance(self.index, Blocks) else lambda *a, **k: bm25.search(self.index, *a, **k)
+            out["keyword"] = lexical(query, candidates, allowed=allowed)
         if semantic and self.vectors is not None and self.embed is not None:
             out["semantic"] = dense.search(self.vectors, self.embed(query), candidates, allowed=allowed)
         if graph_ and self.edges is not None and out:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from ..functions.dates import event_at
 from ..functions.doctext import FIELDS, content_hash, with_fields
 from ..functions.identity import doc_key
 from .entities import stale
+from .shared import keep, work_dir  # noqa: F401  others take them from here
 
 #: Fields that change without the text, and fields that a new fetch never overwrites.
 VOLATILE = ("stars", "forks", "watchers", "open_issues", "updated_at", "pushed_at", "team_size", "status", "is_hiring", "likes", "downloads", "trending_score", "points", "num_comments", "upvotes", "github_stars")
@@ -20,21 +20,6 @@ PROTECTED = ("doc_id", "first_seen_at", "entities", "entities_extracted_at", "em
 METRICS = {"repo": ("stars", "forks", "watchers", "open_issues"), "model": ("likes", "downloads", "trending_score"), "launch": ("points", "num_comments"), "paper": ("upvotes", "github_stars")}
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, which cuts its lineage."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(fields: DataFrame, kind: str, source: str) -> DataFrame:
     """Normalised documents of one source with type, source, key, date and hash; a null doc_key means no identity."""
     full = with_fields(fields.withColumns({"type": F.lit(kind), "source": F.lit(source)}), FIELDS)
@@ -102,13 +87,14 @@ class VersionedTable:
             raise FileNotFoundError(f"no version of {self.path}")
         return self.spark.read.parquet(f"{self.path}/v={v}")
 
-    def replace(self, df: DataFrame, *partition_by: str) -> int:
-        """Write df beside the current version, then move the pointer; a failed write leaves the old one in place."""
+    def replace(self, df: DataFrame, *partition_by: str, options: dict[str, str] | None = None) -> int:
+        """Write df beside the current version, then move the pointer; a failed write leaves the old one in place. Options go to the writer."""
         old = self.version()
         v = 0 if old is None else old + 1
         while self._fs.exists(self._at(f"{self.path}/v={v}")):
             v += 1  # what a failed write left
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/v={v}") if partition_by else df.write.parquet(f"{self.path}/v={v}")
+        writer = df.write.options(**(options or {}))
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={v}")
         self._fs.mkdirs(self._at(f"{self.path}/current={v}"))
         if old is not None:
             self._fs.delete(self._at(f"{self.path}/current={old}"), True)

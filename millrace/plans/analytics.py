@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timezone
+import uuid
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -286,14 +287,18 @@ round AS (SELECT 'o' || o_orderkey AS doc_id, 'funding' AS section, 1 AS s, row_
 picked AS (SELECT *, row_number() OVER (ORDER BY s, pos) AS n FROM (SELECT * FROM launch UNION ALL SELECT * FROM repo UNION ALL SELECT * FROM round))"""
 
 
-def _selection(spark: SparkSession, d: str) -> DataFrame:
+def _digest_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     at = F.lit(datetime(2024, 1, 10, tzinfo=timezone.utc)).cast("timestamp")
     parts = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("doc_id"), F.lit("repo").alias("type"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("full_name"), F.col("p_size").cast("long").alias("stars"), at.alias("event_at"))
     posts = _events(spark, d).select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("doc_id"), F.lit("launch").alias("type"), F.col("event_type").alias("title"), F.floor("value").alias("points"), F.col("ts").alias("event_at"))
     news = table(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc_id"), F.lit("article").alias("type"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), at.alias("event_at"))
     docs = doctext.with_fields(parts.unionByName(posts, allowMissingColumns=True).unionByName(news, allowMissingColumns=True))
     rounds = _rounds(spark, d).withColumn("source_doc_ids", F.array(F.concat(F.lit("o"), "_id"))).withColumn("announced_at", at).where("publishers[0] = '1-URGENT'")
-    return digest.select_week(docs.withColumn("content_hash", F.sha1("doc_id")), rounds, START, END)
+    return docs.withColumn("content_hash", F.sha1("doc_id")), rounds
+
+
+def _selection(spark: SparkSession, d: str) -> DataFrame:
+    return digest.select_week(*_digest_inputs(spark, d), START, END)
 
 
 @query(f"WITH {_PICK} SELECT section, doc_id, n FROM picked")
@@ -323,6 +328,33 @@ def digest_written(spark: SparkSession, d: str) -> DataFrame:
     return written.select("section", *(F.col(c).cast("long").alias(c) for c in ("bullets", "uncited_bullets", "invalid_citations")))
 
 
+_DIGESTS = """
+weeks AS (SELECT '2024-W0' || k AS week, TIMESTAMP '2024-01-01' + INTERVAL 7 DAY * (k - 1) AS start FROM (SELECT unnest([2, 3, 4]) AS k)),
+digests AS (SELECT week, least(10, (SELECT count(*) FROM events WHERE ts >= start AND ts < start + INTERVAL 7 DAY)) AS launches,
+  CASE WHEN week = '2024-W02' THEN least(5, (SELECT count(*) FROM part)) + least(10, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT')) ELSE 0 END AS others FROM weeks)"""
+
+
+def _digests(spark: SparkSession, d: str) -> digest.DigestStore:
+    """Digests of three weeks, each made twice: the second time nothing is written."""
+    docs, rounds = _digest_inputs(spark, d)
+    kept = digest.DigestStore(spark, f"{store.work_dir(spark)}/digests-{uuid.uuid4().hex}")
+    for _ in range(2):
+        for k in range(3):
+            start = START + timedelta(days=7 * k)
+            kept.make(docs, rounds, f"2024-W0{2 + k}", start, start + timedelta(days=7), END)
+    return kept
+
+
+@query(f"WITH {_DIGESTS} SELECT week, launches, launches + others AS bullets FROM digests ORDER BY week DESC")
+def digest_list(spark: SparkSession, d: str) -> DataFrame:
+    return _digests(spark, d).list().select("week", F.coalesce(F.col("counts")["launches"], F.lit(0).cast("long")).alias("launches"), "bullets")
+
+
+@query(f"WITH {_DIGESTS} SELECT count(*) AS digests, sum(launches + others)::BIGINT AS bullets FROM digests")
+def digest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _digests(spark, d).summaries().agg(F.count(F.lit(1)).alias("digests"), F.sum("bullets").alias("bullets"))
+
+
 @query(
     """SELECT day, type, count(*) AS n, max(v)::BIGINT AS most FROM (SELECT DATE '2024-01-10' AS day, 'repo' AS type, p_size AS v FROM part UNION ALL SELECT DATE '2024-01-10', 'launch', floor(value) FROM events WHERE value IS NOT NULL) GROUP BY ALL"""
 )

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.doctext import TYPE_NAMES, document_text, document_title, document_url
-from ..operators import bm25, companies, dense, entities, graph, rag, trends
+from ..operators import blocks, companies, dense, entities, graph, rag, trends
 from ..operators.search import Engine, Filters
-from ..operators.store import VersionedTable, load_index
+from ..operators.store import VersionedTable
 from .pipeline import Pipeline
 
 
@@ -55,7 +55,7 @@ class Api:
     def reload(self) -> None:
         p = self.pipeline
         docs = p.documents().withColumns({"title": F.coalesce("title", document_title()), "link_url": document_url()})
-        index = load_index(bm25.Index, f"{p.path}/bm25", p.spark)
+        index = blocks.load(p.spark, f"{p.path}/bm25")
         engine = Engine(docs, index, p.table("vectors").read(), p.embedder.query, p.table("mentions").read())
         self.docs, self.engine = docs, engine
 
@@ -112,6 +112,8 @@ class Api:
         return companies.page(self._table("companies"), text, sort, limit, offset)
 
     def company(self, slug: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        if self._table("companies").where(F.col("slug") == slug).isEmpty():
+            raise KeyError(slug)
         return companies.detail(self._table("companies"), self._table("funding_rounds"), self.public(self.docs), slug)
 
     def trends(self, week: str, limit: int = 20) -> DataFrame:
@@ -125,6 +127,18 @@ class Api:
         rows = trends.velocity(snaps, trends.VELOCITY_METRIC[kind], trends.VELOCITY_FLOOR[kind], self.now.date(), days, limit)
         return rows.join(self.docs.select(F.col("doc_id"), "title", "link_url"), "doc_id", "left").orderBy(F.desc("gained"), "doc_id")
 
+    def digests(self, limit: int = 12) -> DataFrame:
+        """The newest weeks' digests without their sections."""
+        return self.pipeline.digests().list(limit)
+
+    def digest(self, week: str | None = None) -> dict:
+        """One week's digest, or the latest; a KeyError if there is none."""
+        return self.pipeline.digests().latest() if week is None else self.pipeline.digests().week(week)
+
+    def entity_documents(self, entity_id: str, page: int = 0) -> DataFrame:
+        """A page of the documents that mention an entity, however many there are."""
+        return self.public(entities.documents_of(self._table("entity_pages"), self.docs, entity_id, page))
+
     def entities(self, kind: str | None = None, limit: int = 10) -> DataFrame:
         return entities.top_entities(self._table("canonical_entities"), limit, kind)
 

@@ -12,10 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import previous_weeks, week_of
+from ..functions.dates import previous_weeks, week_bounds, week_of
 from ..functions.doctext import FIELDS, document_text, document_title, with_fields
-from ..operators import bm25, companies, entities, funding, graph, store, trends
-from ..operators.models import Embedder, HashingEmbedder, PatternRecogniser, Recogniser
+from ..operators import blocks, bm25, companies, digest, entities, funding, graph, store, trends
+from ..operators.models import Embedder, HashingEmbedder, LanguageModel, PatternRecogniser, Recogniser
 from ..operators.parts import PartTable
 
 STAGES = ("refresh", "entities", "embed", "index", "snapshots", "funding", "companies", "trends", "graph")
@@ -65,6 +65,7 @@ class Pipeline:
         self._save("documents", out.drop("_e", "_h", "_new"))
         edges = entities.mentions(self.documents())
         self._save("mentions", edges)
+        self._save("entity_pages", entities.paged_links(edges))
         return {"extracted": done, "entities": self._save("canonical_entities", entities.canonical(edges))}
 
     def embed(self, force: bool = False) -> dict:
@@ -83,7 +84,7 @@ class Pipeline:
 
     def index(self, force: bool = False) -> dict:
         docs = self.documents().withColumn("text", document_text())
-        store.save_index(bm25.build(docs.select("doc_id", "type", "text")), f"{self.path}/bm25", self.spark)
+        blocks.write(bm25.build(docs.select("doc_id", "type", "text"), written=True), f"{self.path}/bm25")
         return {"vectors": self._save("vectors", docs.where("embedding IS NOT NULL").select("doc_id", "type", "embedding")), "lexical": self.table("bm25/lengths").read().count()}
 
     def snapshots(self, force: bool = False) -> dict:
@@ -126,6 +127,16 @@ class Pipeline:
         docs = self.documents().withColumn("title", document_title())
         return {"vertices": self._save("vertices", graph.vertices(docs, self.table("canonical_entities").read()))}
 
+    def digests(self) -> digest.DigestStore:
+        return digest.DigestStore(self.spark, f"{self.path}/digests")
+
+    def digest(self, force: bool = False, writer: LanguageModel | None = None) -> dict:
+        """The current week's digest, stored unless nothing it is made of has changed."""
+        week, rounds = week_of(self.today), self.table("funding_rounds")
+        found = rounds.read() if rounds.version() is not None else self.spark.createDataFrame([], funding.ROUND)
+        start, end = week_bounds(week)
+        return {"week": week, "digest": self.digests().make(self.documents(), found, week, start, end, datetime.now(timezone.utc), writer, force)}
+
     def run(self, stages: tuple[str, ...] = STAGES, force: bool = False) -> dict:
         """Stages in the fixed order; the first that fails ends the run, which is recorded."""
         record: dict = {"started_at": datetime.now(timezone.utc), "status": "ok", "stages": {}}

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, tokenize
-from ..operators import bm25, dense, entities, evaluate, fusion, graph, rag, search
+from ..operators import blocks, bm25, dense, entities, evaluate, fusion, graph, rag, search
 from .registry import query, table
+from .tables import scratch
 
 QUERY = "Licensed under the Apache License, version 2.0"
 
@@ -65,6 +66,12 @@ def bm25_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     return _scored(bm25.search(bm25.build(docs, written=True), QUERY, allowed=allowed))
 
 
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM scored WHERE score > 0 ORDER BY round(scored.score, 9) DESC, doc_id LIMIT 20")
+def bm25_blocks_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents from postings in blocks, of which ranges are read in the order of their bounds."""
+    return _scored(blocks.write(bm25.build(_documents(spark, d), written=True), scratch(spark, "blocks")).search(QUERY))
+
+
 @query(f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return bm25.build(_documents(spark, d)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

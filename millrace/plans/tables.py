@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import trends
+from ..operators import entities, trends
 from ..operators.parts import BucketTable, PartTable
 from ..operators.store import work_dir
 from ..sources.base import register
@@ -95,3 +95,13 @@ def feed_stream(spark: SparkSession, d: str) -> DataFrame:
     kept = BucketTable(spark, f"{at}/documents", buckets=16)
     ingest.upsert_stream(read.select(F.col("r.id").cast("string").alias("doc_key"), "r.source", F.col("r.hash").alias("content_hash")), kept, f"{at}/checkpoint", clock=lambda: FIRST).awaitTermination()
     return kept.read().select("doc_key", "source", "content_hash")
+
+
+@query(
+    """WITH l AS (SELECT source AS entity_id, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS page FROM documents WHERE source IS NOT NULL)
+SELECT entity_id, page::INT AS page, count(*) AS links, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM l GROUP BY ALL"""
+)
+def entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each source as pages of a hundred links, whatever their number."""
+    edges = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("entity_id"), "doc_id", F.col("lang").alias("type"))
+    return entities.paged_links(edges, 100).select("entity_id", "page", F.size("links").cast("long").alias("links"), "first_doc", "last_doc")

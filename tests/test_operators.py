@@ -326,8 +326,15 @@ def test_pipeline_and_api(spark, tmp_path):
     assert got["plan"].intent == "funding_ranking" and got["sources"][0]["n"] == 1 and "[1]" in got["answer"]
     one = page.first()["doc_id"]
     assert api.document(one)["hf_id"] == "org/vision-b" and api.similar(one).first()["hf_id"] == "org/llm-a"
-    with pytest.raises(KeyError):
-        api.document("none")
+    for missing in (lambda: api.document("none"), lambda: api.company("none"), api.digest, lambda: api.digest("2026-W01")):
+        with pytest.raises(KeyError):
+            missing()
+    assert [p.digest()["digest"] for _ in range(2)] == ["stored", "unchanged"]
+    (row,) = api.digests().collect()
+    assert row["week"] == p.digest()["week"] and api.digest()["sections"][1]["bullets"] == 1 and row["bullets"] == sum(s["bullets"] for s in api.digest(row["week"])["sections"])
+    (org,) = p.table("canonical_entities").read().where("entity_text = 'Acme Robots'").limit(1).collect() or [None]
+    if org is not None:
+        assert api.entity_documents(org["entity_id"]).first()["type"] == "article"
     for bad in ({"query": ""}, {"query": "q", "top_k": 99}, {"query": "q", "type": "x"}, {"query": "q", "extra": 1}):
         with pytest.raises(ValueError):
             SearchRequest.parse(bad)
