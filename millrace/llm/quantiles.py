@@ -197,7 +197,7 @@ def _local(rows: DataFrame, keys: list[str], error: float, block: int, most: int
 
 def _merge(summaries_: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The summaries of each key merged, and pruned to `most` points; a key has a bounded number of them."""
-    dealt = summaries_.select(*keys, "x", "lo", "up").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = summaries_.select(*keys, "x", "lo", "up").repartition(*keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
 
     def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         b = rows.combine_chunks().to_batches()[0]
@@ -254,7 +254,8 @@ def summaries(rows: DataFrame, keys: list[str], column: str = "x", most: int = M
     Ranks asked of it err by at most blocks + tree + 1 / (most - 2) of a group's rows, whatever their order and number.
     Keys and x must not be null. An empty table gives an empty one.
     """
-    own = rows.select(*keys, F.col(column).cast("long").alias("x")).sortWithinPartitions(*keys)
+    # sorted by a hash, which is a number; groups whose hashes are equal may come in pieces, which are merged like those of different tasks
+    own = rows.select(*keys, F.col(column).cast("long").alias("x")).sortWithinPartitions(F.xxhash64(*keys))
     parts = keep(_local(own, keys, blocks, block, most).withColumn("_number", F.spark_partition_id()), "parts")
     last, level = parts.agg(F.max("_number")).first()[0] or 0, 0
     while last >= fan:
@@ -277,13 +278,13 @@ class Ranks:
 
     def __init__(self, counts: DataFrame, keys: list[str]):
         """counts: (keys ..., x, c), one row a value."""
-        self.keys, self.tables = keys, []
+        self.keys, self.tables = keys[::-1], []  # sorts begin with the key that tells most groups apart
         spread = counts.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
         a, b, k = spread["a"] or 0, spread["b"] or 0, 0
         level = counts.select(*keys, F.col("x").alias("p"), "c")
         while True:
             top = (b >> DIGIT * k) - (a >> DIGIT * k) < 1 << DIGIT
-            own = Window.partitionBy(*keys, "above").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+            own = Window.partitionBy(*self.keys, "above").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
             level = level.withColumn("above", F.lit(0).cast("long") if top else F.shiftright("p", DIGIT))
             self.tables.append(keep(level.withColumn("before", F.coalesce(F.sum("c").over(own), F.lit(0).cast("long"))), f"digits{k}"))
             if top:
