@@ -91,7 +91,12 @@ class _WordIds:
         split = []
         for text in texts:
             data = (text or "").encode("utf-8", "replace")
-            split.append((data if self.SPECIAL in data else data.lower()).split())
+            if self.SPECIAL in data:
+                split.append(data.split())
+            elif data.isascii():
+                split.append(data.lower().split())
+            else:  # a letter with a mark of its own is composed before it is lower-cased, so that is left to the tokenizer
+                split.append([w.lower() if w.isascii() else w for w in data.split()])
         self._learn(set().union(*split) - self.known.keys())
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         if len(self.known) > self.bound:
@@ -185,7 +190,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarra
 def pack(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place.
 
-    Pieces are dealt by a hash of what they are into groups of about `group_docs` documents,
+    Pieces are dealt by a hash of what they are and where they come from into groups of about `group_docs` documents,
     each packed on its own; only lengths and ids move, never text. Sequence ids are unique
     but not dense. Null texts, empty texts and repeated rows are documents of their own, a null
     doc_id stays null; an empty table gives an empty one.
@@ -200,7 +205,7 @@ def pack(docs: DataFrame, file: str | None = None, length: int = LENGTH, end_id:
 
     return (
         pieces(docs, file, length, end_id)
-        .withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        .withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("group")
         .applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )

@@ -294,3 +294,20 @@ def test_top_k_equals_brute_force(spark, block, bins):
 def test_top_k_of_nothing(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert topk.exact_top_k(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_ids_of_letters_with_marks_and_of_any_strings():
+    import random
+    import unicodedata
+
+    v = packing._WordIds(packing.tokenizer_file())
+    marks = [chr(c) for c in range(0x300, 0x36F)]
+    letters = [chr(c) for c in range(0x41, 0x2000) if chr(c).isalpha() and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt")]
+    rng = random.Random(1)
+    chars = [chr(c) for c in range(1, 0x3000) if unicodedata.category(chr(c))[0] != "C"] + list("\t\n\r\x0b\x0c\x85\xa0​ 　")
+    texts = [a + m for a in letters for m in marks[::5]] + [f"X{a}{m}. Y" for a in letters[::7] for m in marks]
+    texts += ["".join(rng.choice(chars if rng.random() < 0.3 else "abcXYZ .,É" + rng.choice(marks)) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    for i in range(0, len(texts), 5000):
+        part = texts[i : i + 5000]
+        want = v.tokenizer.encode_batch(part, add_special_tokens=False)
+        assert [x for x, ids, w in zip(part, v.ids(part), want, strict=True) if np.frombuffer(ids, "<u4").tolist() != w.ids] == []
