@@ -81,6 +81,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, changed until df has none like them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def needs_integer_id(docs: DataFrame) -> None:
     """Operators that order documents by doc_id, or pack it, take integers of any width; the others keep whatever kind it is."""
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, needs_integer_id, with_counted
+from .common import keep, needs_integer_id, unused, with_counted
 
 MIN_WORDS = 50
 PLACE = ["o", "th"]
@@ -32,10 +32,10 @@ PLACE = ["o", "th"]
 HOT = 2000
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with the order of a document (o; null ids first) and the hash of its text (th): equal pairs are repeated rows."""
+def _placed(docs: DataFrame, order: str = "__order", text: str = "__hash") -> DataFrame:
+    """docs with the order of a document (null ids first) and the hash of its text: equal pairs are repeated rows."""
     needs_integer_id(docs)
-    return docs.withColumns({"__order": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__hash": F.xxhash64("text")})
+    return docs.withColumns({order: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), text: F.xxhash64("text")})
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
@@ -129,7 +129,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     at = F.struct("o", "th", "i")
     first = keep(found.groupBy("m", "r", "s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     later = with_counted(found, first, ["m", "r", "s"], found.count(), HOT).where(at > F.col("first"))
-    return later.select("o", "th", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    # a copy that overlaps the first one goes only where it lies beyond that
+    same = (F.col("first.o") == F.col("o")) & (F.col("first.th") == F.col("th"))
+    start, end = F.when(same, F.greatest(F.col("i"), F.col("first.i") + F.col("m"))).otherwise(F.col("i")), F.col("i") + F.col("m") - 1
+    later = later.select("o", "th", start.alias("start"), end.alias("end")).where("start <= end")
+    return later.select("o", "th", F.explode(F.sequence("start", "end")).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False, report: str | None = "removed") -> DataFrame:
@@ -137,20 +141,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
 
     Lines end at line breaks and are compared without the white space around them; lines without words
     are not counted as lines of a run and stay. The first occurrence, in the order of doc_id
-    (nulls first), then of text hash and line, stays; a run may repeat within a document.
+    (nulls first), then of text hash and line, stays; a run may repeat within a document, and of a copy that overlaps the first occurrence
+    only what lies beyond it goes.
     A column n_chars follows the text. Rows that are equal in doc_id and text are one document here,
     and stay equal. Null texts stay null. With `drop_emptied`, documents that
     lose all their words are left out. Other columns stay, but for one named as the report; an empty
     table gives an empty one.
     """
-    gone = later_copies(docs, min_words).select(F.col("o").alias("__order"), F.col("th").alias("__hash"), F.col("lines").alias("__gone"))
-    joined = _placed(docs).join(gone, ["__order", "__hash"], "left")
-    joined = joined.select(*docs.columns, F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"))
+    order, text, mark = unused(docs, "__order", "__hash", "__gone")
+    gone = later_copies(docs.select("doc_id", "text"), min_words).select(F.col("o").alias(order), F.col("th").alias(text), F.col("lines").alias(mark))
+    joined = _placed(docs, order, text).join(gone, [order, text], "left")
+    joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(mark, F.array().cast("array<int>")).alias(mark))
     place, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed = b.column("__gone")
+            removed = b.column(mark)
             lengths = np.asarray(removed.value_lengths())
             if not lengths.any():
                 yield b
@@ -176,4 +182,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(stay))
 
     out = joined.mapInArrow(run, joined.schema)
-    return out.drop("__gone") if report is None else out.withColumn(report, F.col("__gone")).drop("__gone")
+    return out.drop(mark) if report is None else out.withColumn(report, F.col(mark)).drop(mark)

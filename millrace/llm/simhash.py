@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, keep, shingles, word_chunks
+from .common import U64, keep, shingles, unused, word_chunks
 from .components import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -233,7 +233,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, seed: int = SE
     Rows are told apart by doc_id and text: of rows that share an id each is judged by its own text,
     repeated rows with the smallest doc_id all stay, and so do rows with a null doc_id.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64("text"))
-    gone = near_duplicates(hashed, k, seed, bits, ("__hash",)).where("doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__text")).distinct()
-    return hashed.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_anti").drop("__hash")
+    h, own, text = unused(docs, "__hash", "__id", "__text")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    gone = near_duplicates(hashed, k, seed, bits, (h,)).where("doc_id <> component_id")
+    gone = gone.select(F.col("doc_id").alias(own), F.col(h).alias(text)).distinct()
+    return hashed.join(gone, (F.col("doc_id") == F.col(own)) & (F.col(h) == F.col(text)), "left_anti").drop(h)

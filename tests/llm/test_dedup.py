@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from millrace.llm import linededup, minhash, packing, simhash
@@ -219,19 +220,20 @@ def test_likeness_is_unbiased_by_shared_bits():
 
 
 def plain_line_dedup(rows, least):
-    """Deletes each line that lies in any run of at least `least` words which occurs at an earlier place."""
+    """Deletes each line that lies in any run of at least `least` words which occurs at an earlier place; of a run that overlaps its first place what lies beyond that."""
     docs = [(i, t, [x.strip() for x in (t or "").split("\n") if x.strip()]) for i, t in rows]
     order = sorted(range(len(docs)), key=lambda n: docs[n][0])
-    seen, gone = set(), {}
+    first, gone = {}, {}
     places = [(n, p) for n in order for p in range(len(docs[n][2]))]
     for n, p in places:
         lines = docs[n][2]
         for q in range(p + 1, len(lines) + 1):
             run = tuple(lines[p:q])
-            if sum(len(x.split()) for x in run) >= least and run in seen:
-                gone.setdefault(docs[n][0], set()).update(range(p, q))
+            if sum(len(x.split()) for x in run) >= least and run in first:
+                there, at = first[run]
+                gone.setdefault(docs[n][0], set()).update(range(max(p, at + len(run)) if there == n else p, q))
         for q in range(p + 1, len(lines) + 1):
-            seen.add(tuple(lines[p:q]))
+            first.setdefault(tuple(lines[p:q]), (n, p))
     return {i: sorted(gone.get(i, ())) for i, _ in rows}
 
 
@@ -268,3 +270,23 @@ def test_line_dedup_of_nulls_repeats_and_nothing(spark):
     line = " ".join(["x"] * 55)
     got = linededup.dedup_lines(frame(spark, [line, line, line, None], [7, 7, None, 8])).collect()
     assert sorted((r["doc_id"] or -1, "-" if r["text"] is None else r["text"]) for r in got) == [(-1, line), (7, ""), (7, ""), (8, "-")]
+
+
+def test_a_run_keeps_its_first_place_where_copies_overlap_it(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    got = linededup.dedup_lines(frame(spark, ["\n".join([line] * 4), "\n".join([line] * 3), line])).orderBy("doc_id").collect()
+    assert [r["removed"] for r in got] == [[2, 3], [0, 1, 2], []]
+
+
+def test_no_column_is_lost_or_changed(spark):
+    from millrace.llm import jaccard, simhash
+
+    words_ = " ".join(f"w{i}" for i in range(80))
+    extra = {c: 70 + n for n, c in enumerate(("__hash", "__id", "__text", "__order", "__gone", "___gone", "row", "f", "tf", "o", "th", "sid", "items", "lines", "first", "start"))}
+    docs = frame(spark, [f"{words_}\nend", f"{words_}\nlast", "other text", None, words_])
+    for name, value in extra.items():
+        docs = docs.withColumn(name, F.lit(value))
+    for step in (linededup.dedup_lines, jaccard.drop_near_duplicates, simhash.drop_near_duplicates):
+        got = step(docs)
+        rows = got.collect()
+        assert set(docs.columns) <= set(got.columns) and rows and all(r[c] == v for r in rows for c, v in extra.items())
