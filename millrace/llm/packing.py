@@ -49,6 +49,11 @@ class _WordIds:
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _marked(text: bytes) -> bool:
+        """Whether there are characters from U+0300 to U+037F, by their first byte: all marks that A-Z compose with are among them."""
+        return b"\xcc" in text or b"\xcd" in text
+
     def _core(self, word: bytes) -> bytes:
         """The word without punctuation behind its last letter; itself if it doesn't end so."""
         core = word.rstrip(self.TAIL)
@@ -93,10 +98,10 @@ class _WordIds:
             data = (text or "").encode("utf-8", "replace")
             if self.SPECIAL in data:
                 split.append(data.split())
-            elif data.isascii():
+            elif not self._marked(data):
                 split.append(data.lower().split())
-            else:  # a letter with a mark of its own is composed before it is lower-cased, so that is left to the tokenizer
-                split.append([w.lower() if w.isascii() else w for w in data.split()])
+            else:  # a letter and its mark are composed before they are lower-cased, which is left to the tokenizer
+                split.append([w if self._marked(w) else w.lower() for w in data.split()])
         self._learn(set().union(*split) - self.known.keys())
         out = [b"".join(map(self.known.__getitem__, words)) for words in split]
         if len(self.known) > self.bound:
