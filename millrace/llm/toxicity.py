@@ -430,7 +430,6 @@ def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_r
     model, vectors = _learned(docs, labels, training, sample_rows, k, ["doc_id"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
@@ -438,7 +437,7 @@ def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_r
             got = _judged(b, judge)
             s = np.array([x[0] for x in got])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= reject).astype(np.int32)), pa.array([x[1] for x in got], pa.list_(ids)), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
+                [b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= reject).astype(np.int32)), pa.array([x[1] for x in got], pa.list_(b.schema.field("doc_id").type)), pa.array([x[2] for x in got], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "predicted", "evidence", "cosines"],
             )
 
