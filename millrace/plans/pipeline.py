@@ -8,13 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import previous_weeks, week_bounds, week_of
 from ..functions.doctext import FIELDS, document_text, document_title, with_fields
-from ..operators import blocks, bm25, companies, digest, entities, funding, graph, store, trends
+from ..operators import blocks, bm25, companies, digest, edges, entities, funding, graph, inference, store, trends
 from ..operators.models import Embedder, HashingEmbedder, LanguageModel, PatternRecogniser, Recogniser
 from ..operators.parts import PartTable
 
@@ -69,18 +68,14 @@ class Pipeline:
         return {"extracted": done, "entities": self._save("canonical_entities", entities.canonical(edges))}
 
     def embed(self, force: bool = False) -> dict:
-        docs, own = self.documents(), self.embedder
-
-        @F.pandas_udf("array<float>")
-        def vectors(text: pd.Series) -> pd.Series:
-            return pd.Series(list(own.embed(text.fillna("").tolist(), "passage: ")))
-
+        docs = self.documents()
         todo = F.lit(True) if force else entities.stale("embedding_hash", "content_hash")
-        stale_ = docs.where(todo).withColumn("embedding", vectors(document_text()))
-        out = stale_.withColumn("embedding_hash", F.col("content_hash")).unionByName(docs.where(~todo))
-        n = docs.where(todo).count()
-        self._save("documents", out)
-        return {"embedded": n}
+        fresh, failed = inference.embed(docs.where(todo).select("doc_id", document_text().alias("text")), self.embedder)
+        joined = docs.join(fresh.select("doc_id", F.col("embedding").alias("_v"), F.lit(True).alias("_new")), "doc_id", "left")
+        out = joined.withColumns({"embedding": F.when(F.col("_new"), F.col("_v")).otherwise(F.col("embedding")), "embedding_hash": F.when(F.col("_new"), F.col("content_hash")).otherwise(F.col("embedding_hash"))})
+        self._save("documents", out.select(*docs.columns))
+        # texts that no vector could be made of stay stale, and are tried again by the next run
+        return {"embedded": fresh.count(), "failed": self._save("embedding_errors", failed)}
 
     def index(self, force: bool = False) -> dict:
         docs = self.documents().withColumn("text", document_text())
@@ -124,8 +119,11 @@ class Pipeline:
         return {"rows": weekly.count(), "rising": trends.rising(weekly, week, 10).count()}
 
     def graph(self, force: bool = False) -> dict:
-        docs = self.documents().withColumn("title", document_title())
-        return {"vertices": self._save("vertices", graph.vertices(docs, self.table("canonical_entities").read()))}
+        docs, found = self.documents(), self.table("canonical_entities").read()
+        nodes = graph.vertices(docs.withColumn("title", document_title()), found)
+        counts = F.create_map(F.lit("mention_count"), F.col("mention_count").cast("string"), F.lit("document_count"), F.col("document_count").cast("string"))
+        own = edges.vertices(docs).select("node_id", "properties").unionByName(found.select(F.col("entity_id").alias("node_id"), counts.alias("properties")))
+        return {"vertices": self._save("vertices", nodes.join(own, "node_id", "left"))}
 
     def digests(self) -> digest.DigestStore:
         return digest.DigestStore(self.spark, f"{self.path}/digests")

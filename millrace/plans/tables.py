@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import entities, trends
+from ..operators import entities, inference, trends
+from ..operators.edges import Edges
+from ..operators.models import HashingEmbedder
 from ..operators.parts import BucketTable, PartTable
 from ..operators.store import work_dir
 from ..sources.base import register
@@ -105,3 +107,40 @@ def entity_pages(spark: SparkSession, d: str) -> DataFrame:
     """The documents of each source as pages of a hundred links, whatever their number."""
     edges = table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("entity_id"), "doc_id", F.col("lang").alias("type"))
     return entities.paged_links(edges, 100).select("entity_id", "page", F.size("links").cast("long").alias("links"), "first_doc", "last_doc")
+
+
+class _Refusing(HashingEmbedder):
+    """A stand-in for a model that fails on some texts, and with them on their whole batch."""
+
+    def embed(self, texts: list[str], prefix: str = "passage: "):
+        if any("License" in t for t in texts):
+            raise RuntimeError("a text that breaks the model")
+        return super().embed(texts, prefix)
+
+
+@query(
+    """SELECT lang, count(*) FILTER (contains(text, 'License')) AS failed, count(*) FILTER (NOT contains(text, 'License')) AS embedded,
+  count(*) FILTER (regexp_full_match(text, '\\s*')) AS blank FROM (SELECT lang, coalesce(text, '') AS text FROM documents) GROUP BY lang"""
+)
+def embedding_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents embedded by a model that fails on some: each costs its own row only, blank ones have the zero vector."""
+    docs = table(spark, d, "documents")
+    good, bad = inference.embed(docs, _Refusing(16), wait=lambda s: None)
+    zero = F.forall("embedding", lambda x: x == 0)
+    rows = good.select("doc_id", F.lit(0).alias("bad"), zero.alias("blank")).unionByName(bad.select("doc_id", F.lit(1).alias("bad"), F.lit(False).alias("blank")))
+    return docs.select("doc_id", "lang").join(rows, "doc_id").groupBy("lang").agg(F.sum("bad").alias("failed"), F.count_if(F.col("bad") == 0).alias("embedded"), F.count_if("blank").alias("blank"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT doc_id, unnest(string_split(lower(source || ' ' || CASE WHEN doc_id % 3 = 0 THEN 'edited' ELSE lang END), ' ')) AS entity_id FROM documents WHERE doc_id % 5 <> 0 AND source IS NOT NULL AND lang IS NOT NULL)
+SELECT entity_id, count(*) AS degree FROM e GROUP BY entity_id"""
+)
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of a graph after two edits of its documents: a third mention something else, a fifth mention nothing any more."""
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    said = lambda text: docs.select("doc_id", F.explode(F.split(F.lower(F.concat_ws(" ", "source", text)), " ")).alias("entity_id"))
+    kept = Edges(spark, scratch(spark, "graph"), 16)
+    kept.apply(docs, said(F.col("lang")))
+    kept.apply(docs.where("doc_id % 3 = 0"), said(F.lit("edited")))
+    kept.apply(docs.where("doc_id % 5 = 0"), said(F.lit("x")).limit(0))
+    return kept.degrees.read().select("entity_id", "degree")
