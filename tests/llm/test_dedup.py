@@ -290,3 +290,29 @@ def test_no_column_is_lost_or_changed(spark):
         got = step(docs)
         rows = got.collect()
         assert set(docs.columns) <= set(got.columns) and rows and all(r[c] == v for r in rows for c, v in extra.items())
+
+
+@pytest.mark.parametrize("patience", [3, None])
+def test_sets_of_one_template_are_linked_as_by_brute_force(spark, monkeypatch, patience):
+    """All sets share their keys, and few pairs are alike: each large group has to be searched, not met at one set."""
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HUBS", 30)
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        for p in rng.sample(range(300), 4):
+            own[p] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    sets = [set(jaccard.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, texts), patience=patience).collect()}
+    assert [got[i] for i in range(len(texts))] == root and 1 < len(set(root)) < len(texts)
