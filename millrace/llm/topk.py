@@ -9,6 +9,8 @@ is one score wide, a last pass keeps what lies above it, and of the ties the sma
 
 from __future__ import annotations
 
+import math
+import operator
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ from .common import keep, shared_dir
 K, EVERY, SCALE = 10, 100, 1024
 #: Queries sent to the tasks at a time, in expectation; bins of a range; candidates scored at a time.
 BLOCK, BINS, ROWS = 2048, 2048, 2048
+#: The length of a vector from which a product of two may reach 2^53.
+LARGE = 2.0**26.5
 
 
 def integer_vectors(batch: pa.RecordBatch, scale: int = SCALE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -67,13 +71,14 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int =
     another vec_id and the same number of components. Ties go to the smaller vec_id. Vectors
     that are null, or hold null or non-finite components, and rows without a vec_id take no
     part. Of repeated query ids the smallest vector that takes part asks; repeated candidates count each.
-    An empty table gives an empty one. Scores must be below 2^53, where doubles are exact.
+    An empty table gives an empty one. Pairs of vectors whose scores can reach 2^53, where doubles are no longer exact, are scored in whole numbers of any
+    size instead, each task keeping its best k; a score beyond the range of long is its nearest end.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     norm = vectors.mapInArrow(lambda it: _largest(it, scale), "norm double").agg(F.max("norm")).first()[0] or 0.0
-    if norm * norm >= 2**53:
-        raise ValueError("scores of these vectors can exceed what doubles hold exactly")
+    if norm >= LARGE:
+        return _with_large(vectors, k, every, scale, block, bins)
     asking = vectors.where(f"vec_id % {every} = 0 AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asking = keep(asking, "queries")
     blocks = max(1, -(-asking.count() // block))
@@ -90,6 +95,62 @@ def exact_top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int =
     return spark.read.schema(schema).parquet(path)
 
 
+def whole_numbers(vector: list[float], scale: int = SCALE) -> list[int]:
+    """floor(scale * x) of each component, whatever its size."""
+    return [int(x) * scale if abs(x) >= 2**53 else math.floor(x * scale) for x in vector]
+
+
+def _with_large(vectors: DataFrame, k: int, every: int, scale: int, block: int, bins: int) -> DataFrame:
+    """The same of tables with vectors so large that products may not be exact in double: pairs without them as ever, all others in whole numbers."""
+    spark = vectors.sparkSession
+    fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('Infinity'))"
+    # a vector is large if a component or the sum of their squares is, as far as doubles tell, with room for rounding
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda n, x: n + (x * scale) * (x * scale)))
+    told = keep(vectors.where(fine).withColumn("large", size >= LARGE / 2), "told")
+    asking = keep(told.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "large")).alias("q")).select("vec_id", "q.embedding", "q.large"), "queries")
+    asked = asking.where("NOT large").select("vec_id", "embedding")
+    found = _small(asked, told.where("NOT large").select("vec_id", "embedding"), k, scale, block, bins)
+    blocks = max(1, -(-asking.count() // block))
+    for n in range(blocks):
+        own = [(r["vec_id"], whole_numbers(r["embedding"], scale), r["large"]) for r in asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).collect()]
+        sent = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[tuple[int, int]]] = {}
+            for b in batches:
+                for vec_id, vector, large in zip(*(b.column(c).to_pylist() for c in ("vec_id", "embedding", "large")), strict=True):
+                    x = whole_numbers(vector, scale)
+                    for name, q, own_large in sent.value:
+                        if name != vec_id and len(q) == len(x) and (large or own_large):
+                            score = min(max(sum(map(operator.mul, q, x)), -(1 << 63)), (1 << 63) - 1)
+                            held = best.setdefault(name, [])
+                            held.append((-score, vec_id))
+                            if len(held) >= 4 * k:
+                                held.sort()
+                                del held[k:]
+            rows = [(name, v, -s) for name, held in best.items() for s, v in sorted(held)[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], names=["query_id", "vec_id", "score"])
+
+        found = found.unionByName(told.mapInArrow(run, "query_id long, vec_id long, score long"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _small(asking: DataFrame, candidates: DataFrame, k: int, scale: int, block: int, bins: int) -> DataFrame:
+    """(query_id, vec_id, score) of some queries among some candidates, all small."""
+    spark = asking.sparkSession
+    norm = candidates.unionByName(asking).mapInArrow(lambda it: _largest(it, scale), "norm double").agg(F.max("norm")).first()[0] or 0.0
+    blocks = max(1, -(-asking.count() // block))
+    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    for n in range(blocks):
+        own = {}
+        for b in asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == n).toArrow().combine_chunks().to_batches():
+            own |= {dim: (*found, np.ceil(np.sqrt((found[1] ** 2).sum(1)) * norm) + 1) for dim, found in integer_vectors(b, scale).items()}
+        if own:
+            out = out.unionByName(_answer(candidates, own, k, scale, bins).drop("rank"))
+    return out
+
+
 def _answer(vectors: DataFrame, own: dict, k: int, scale: int, bins: int) -> DataFrame:
     """Top k of one block of queries: dimension -> (ids, vectors, bounds of the scores)."""
     spark = vectors.sparkSession

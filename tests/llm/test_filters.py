@@ -311,3 +311,24 @@ def test_ids_of_letters_with_marks_and_of_any_strings():
         part = texts[i : i + 5000]
         want = v.tokenizer.encode_batch(part, add_special_tokens=False)
         assert [x for x, ids, w in zip(part, v.ids(part), want, strict=True) if np.frombuffer(ids, "<u4").tolist() != w.ids] == []
+
+
+def test_top_k_of_vectors_of_any_finite_size(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    size = lambda: rng.choice([1.0, 1.0, 1e3, 1e9, 1e18, 1e300])
+    rows = [(k % 330, [rng.uniform(-1, 1) * s for _ in range(3)]) for k in range(340) for s in [size()]]
+    rows += [(400, [1.7e308] * 3), (500, [0.5, 2.0]), (700, [float("inf"), 1.0, 1.0]), (800, None), (7, [1.0, None, 2.0]), (None, [1.0, 1.0, 1.0]), (41, [3e15, -3e15, 3e15]), (42, [3e15, -3e15, 3e15])]
+    whole = lambda v: [int(x) * 1024 if abs(x) >= 2**53 else math.floor(x * 1024) for x in v]
+    able = [(i, v, whole(v)) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    asks = {i: min(v for j, v, _ in able if j == i) for i, _, _ in able if i % 100 == 0}
+    want = []
+    for i, v in asks.items():
+        q = whole(v)
+        scores = sorted((-min(max(sum(map(lambda a, b: a * b, q, x)), -(2**63)), 2**63 - 1), j) for j, w, x in able if j != i and len(w) == len(v))[:10]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (2048, 2):
+        assert sorted(map(tuple, topk.exact_top_k(table, 10, block=block).collect())) == sorted(want)
