@@ -3,11 +3,12 @@
 A text's vector has all of its words (runs of letters, lower-cased): (1 + ln tf) * sqrt(idf), so that the
 product of two vectors carries the idf once. Words, and beginnings of words of four to eight
 letters, that mark toxic examples weigh more, by the logarithm of their lift; a beginning that
-marks nothing has no weight, nor has such a word that is COMMON. Document frequencies are counted over all documents. A word that no
+marks nothing has no weight. Document frequencies are counted over all documents. A word that no
 example has counts in a text's length as one that no document has.
 
-Examples are the distinct texts of a bounded sample of labelled rows. The index stores, for each
-feature and block of examples, the largest weight. A text first visits the blocks of largest
+Examples are the distinct texts of a bounded sample of labelled rows. Features that many examples have
+are kept as rows of a matrix and scored for all examples at once. Of the others the index stores, for each
+feature and block of examples, the largest weight; with the exact part they bound a block's cosines. A text first visits the blocks of largest
 bound, then all whose bound reaches the kth cosine found so far, so its neighbours are exact;
 examples that tie with the kth vote too. Votes are weighted by cosine and drawn towards
 the rate of toxic examples. Scores are calibrated by a monotone map, learned on votes that each
@@ -37,8 +38,8 @@ NEAREST, REJECT, PULL = 15, 0.7, 0.3
 #: A feature marks toxic texts if this many have it, with this likelihood ratio; copies of a line count once.
 LEAST_TEXTS, LEAST_RATIO = 3, 15.0
 BEGINNINGS, INDEX_BLOCK, FIRST_BLOCKS, FOLDS = (4, 5, 6, 7, 8), 256, 2, 4
-#: Words that more than this share of all documents have tell nothing: they have no weight, unless they mark toxic texts.
-COMMON = 0.2
+#: Features that more than this part of the examples have are scored from full rows; it changes cost, not results.
+FULL = 8
 #: The score where nothing is labelled.
 NO_LABELS = 0.05
 #: Parts in which a task sends its document frequencies.
@@ -139,9 +140,18 @@ class Index:
         self.base = float(np.mean([share for _, share, _, _ in examples])) if examples else NO_LABELS
         sizes = [len(r[3]) for r in rows]
         f = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
+        value = np.concatenate([r[4] for r in rows]) if rows else np.zeros(0)
+        example = np.repeat(np.arange(len(rows)), sizes)
+        many = np.flatnonzero(np.bincount(f, minlength=len(weight)) * FULL > len(rows))
+        #: Of each feature its row in the matrix, or -1; features' weights by example.
+        self.row = np.full(len(weight), -1, np.int32)
+        self.row[many] = np.arange(len(many))
+        self.full = np.zeros((len(many), len(rows)))
+        inside = self.row[f] >= 0
+        self.full[self.row[f[inside]], example[inside]] = value[inside]
+        f, value, example = f[~inside], value[~inside], example[~inside]
         order = np.argsort(f, kind="stable")  # within a feature examples ascend
-        self.example = np.repeat(np.arange(len(rows)), sizes)[order]
-        self.value = (np.concatenate([r[4] for r in rows]) if rows else np.zeros(0))[order]
+        self.example, self.value = example[order], value[order]
         f, block = f[order], self.example // INDEX_BLOCK
         #: Where each cell (feature, block) starts among the postings, its block and largest weight; and the cells of each feature.
         first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (block[1:] != block[:-1])]) if len(f) else np.zeros(0, np.int64)
@@ -165,12 +175,15 @@ class Index:
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero with a unit vector, and all that tie with the kth: numbers and cosines, largest first."""
-        cell, which = _spread(self.cells[f], self.cells[f + 1])
-        if not len(cell):
+        if not len(f) or not self.ids:
             return np.zeros(0, np.int64), np.zeros(0)
+        row = self.row[f]
+        inside = row >= 0
+        cosine, edge = w[inside] @ self.full[row[inside]], 0.0
+        f, w = f[~inside], w[~inside]
+        cell, which = _spread(self.cells[f], self.cells[f + 1])
         block, factor = self.block[cell], w[which]
-        bound = np.bincount(block, factor * self.bound[cell], self.blocks)
-        cosine, edge = np.zeros(len(self.ids)), 0.0
+        bound = np.bincount(block, factor * self.bound[cell], self.blocks) + np.maximum.reduceat(cosine, np.arange(0, len(cosine), INDEX_BLOCK))
         now = np.zeros(self.blocks, bool)
         now[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         open_ = ~now & (bound > 0)
@@ -384,7 +397,7 @@ def _learned(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int
     unknown = math.sqrt(math.log(1 + total) + 1e-3)
 
     def weights(fold: int) -> np.ndarray:
-        w = ((np.arange(len(vocabulary)) < len(vocabulary.hashes)) & (df <= COMMON * total)).astype(float)
+        w = (np.arange(len(vocabulary)) < len(vocabulary.hashes)).astype(float)
         w[place] = np.where(boosts[fold] > 0, boosts[fold] + (place < len(vocabulary.hashes)), w[place])
         return w * idf
 

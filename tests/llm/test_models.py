@@ -248,7 +248,17 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.score(docs.where("false"), labels).count() == 0 and toxicity.drop_toxic(docs, labels).count() == 1
 
 
-def test_block_max_search_is_exact():
+def test_a_table_of_four_documents_teaches(spark):
+    """Words that most documents have weigh little, but they weigh."""
+    docs = spark.createDataFrame([(i, f"the same words {w}") for i, w in enumerate(["vile", "vile", "kind", "kind"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, "true").collect()}
+    assert got[1]["evidence"][0] == 0 and got[3]["evidence"][0] == 2 and got[1]["cosines"][0] > 0.99 > got[1]["cosines"][1] > 0
+
+
+@pytest.mark.parametrize("full", [8, 15, 1000])
+def test_block_max_search_is_exact(monkeypatch, full):
+    monkeypatch.setattr(toxicity, "FULL", full)  # none, some or all features are scored from full rows
     rng = random.Random(2)
     weight = np.array([rng.uniform(0, 5) if rng.random() < 0.9 else 0.0 for _ in range(60)])
     row = lambda: (np.sort(np.array(rng.sample(range(60), size := rng.randrange(9)), np.int64)), np.array([rng.randrange(1, 4) for _ in range(size)], np.int64))
@@ -300,7 +310,7 @@ def test_votes_equal_a_plain_search_over_all_words(spark):
     def vector(t):
         v = {}
         for f in set(parts(t)):
-            w = (not f.endswith("-") and (f in gain or df.get(f, 0) <= 0.2 * len(rows))) + gain.get(f, 0.0)
+            w = (not f.endswith("-")) + gain.get(f, 0.0)
             if w:
                 v[f] = (1 + math.log(parts(t).count(f))) * w * math.sqrt(math.log((1 + len(rows)) / (1 + df.get(f, 0))) + 1e-3)
         size = math.sqrt(sum(x * x for x in v.values()))
