@@ -43,6 +43,11 @@ def event_at(kind: Column | str, fields: set[str] | None = None) -> Column:
     return out.otherwise(parse_datetime("event_at")) if fields is None or "event_at" in fields else out
 
 
+def first_seen(now: Column, fields: set[str]) -> Column:
+    """When a document was first stored: the first of its own marks that reads as an instant, else now."""
+    return F.coalesce(*(parse_datetime(f) for f in ("first_seen_at", "inserted_at", "scraped_at") if f in fields), now.cast("timestamp"))
+
+
 def week_id(c: Column | str) -> Column:
     """ISO week such as 2026-W02."""
     c = col(c)

@@ -13,6 +13,7 @@ from ..operators import blocks, companies, dense, entities, graph, rag, trends
 from ..operators.search import Engine, Filters
 from ..operators.store import VersionedTable
 from .pipeline import Pipeline
+from .requests import CompaniesRequest, DocumentsRequest, FundingRequest, SimilarRequest, TrendsRequest, VelocityRequest
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,10 @@ class SearchRequest:
         return cls(**raw)
 
 
+#: Request types by the name of what answers them.
+REQUESTS = {"similar": SimilarRequest, "documents": DocumentsRequest, "funding": FundingRequest, "companies": CompaniesRequest, "trends": TrendsRequest, "velocity": VelocityRequest}
+
+
 class Api:
     """Reads whole versions of the tables; reload() moves to the newest ones at once."""
 
@@ -153,6 +158,11 @@ class Api:
     def chat(self, question: str, history: list[dict] | None = None) -> dict:
         return rag.answer(question, self.engine, self._table("funding_rounds"), self.now, history=history)
 
+    def ask(self, path: str, raw: dict):
+        """One of similar, documents, funding, companies, trends, velocity by a request's raw fields; a KeyError for any other."""
+        request = REQUESTS[path].parse(raw)
+        return getattr(self, path)(**vars(request))
+
     def meta(self) -> dict:
         """Counts by type (zeros too), the newest event, and index sizes."""
         spark = self.pipeline.spark
