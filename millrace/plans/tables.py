@@ -125,10 +125,9 @@ class _Refusing(HashingEmbedder):
 def embedding_dead_letters(spark: SparkSession, d: str) -> DataFrame:
     """Documents embedded by a model that fails on some: each costs its own row only, blank ones have the zero vector."""
     docs = table(spark, d, "documents")
-    good, bad = inference.embed(docs, _Refusing(16), wait=lambda s: None)
-    zero = F.forall("embedding", lambda x: x == 0)
-    rows = good.select("doc_id", F.lit(0).alias("bad"), zero.alias("blank")).unionByName(bad.select("doc_id", F.lit(1).alias("bad"), F.lit(False).alias("blank")))
-    return docs.select("doc_id", "lang").join(rows, "doc_id").groupBy("lang").agg(F.sum("bad").alias("failed"), F.count_if(F.col("bad") == 0).alias("embedded"), F.count_if("blank").alias("blank"))
+    good, bad = inference.embed(docs, _Refusing(16), wait=lambda s: None, carry=("lang",))
+    rows = good.select("lang", F.lit(0).alias("bad"), (F.col("attempts") == 0).alias("blank")).unionByName(bad.select("lang", F.lit(1).alias("bad"), F.lit(False).alias("blank")))
+    return rows.groupBy("lang").agg(F.sum("bad").alias("failed"), F.count_if(F.col("bad") == 0).alias("embedded"), F.count_if("blank").alias("blank"))
 
 
 @query(

@@ -74,3 +74,22 @@ def test_vertices_carry_the_properties_of_their_type(spark):
     got = {r["node_id"]: (r["label"], r["properties"]) for r in edges.vertices(docs, edges.PROPERTIES | {"repo": ("full_name", "stars", "tags")}).collect()}
     assert got["1"] == ("repo", {"full_name": "a/b", "stars": "5", "tags": '["x","y"]', "doc_key": "k1", "type": "repo", "event_at": "2026-01-02T03:00:00+00:00"})
     assert got["2"] == ("paper", {"title": "T", "doc_key": "k2", "type": "paper"})
+
+
+def test_dead_letters_count_as_blank_what_sql_does(spark, tmp_path):
+    """Texts without words, or whose words cancel, have the zero vector without being blank; ids may repeat or be null."""
+    import duckdb
+
+    from millrace.plans import registry, tables
+
+    from . import oracle
+
+    rows = [(1, "!!!", "en"), (2, " \n\t", "en"), (3, " ", "en"), (4, "", None), (4, None, None), (4, "License", "de"), (None, "some words", "de"), (None, "\x0b", "de")]
+    cancelled = next(f"a{i} b{j}" for i in range(100) for j in range(100) if not HashingEmbedder(16).embed([f"a{i} b{j}"]).any())
+    docs = spark.createDataFrame([*rows, (5, cancelled, "fr")], "doc_id long, text string, lang string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = tables.embedding_dead_letters(spark, str(tmp_path))
+    result = con.execute(registry.ORACLES["embedding_dead_letters"])
+    assert oracle.rows(got.columns, got.collect()) == oracle.rows([d[0] for d in result.description], result.fetchall())
