@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,35 +29,65 @@ def first_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
 def funding_articles(rounds: DataFrame, articles: DataFrame, start: datetime, end: datetime, cap: int = CAPS["funding"]) -> DataFrame:
     """The week's rounds, largest first, each by its first article not taken yet; then other articles with funding titles, newest first.
 
-    Which article a round gets depends on the rounds before it. Each round that is placed uses up at most one
-    article, so the first `cap` rounds with an article are among the best `cap` plus those without a known one;
-    rounds are cut to those with a known article first, and the few left are replayed in order.
+    Which article a round gets depends on the rounds before it. Only the first `cap` rounds that get one count, and until then fewer than `cap` articles are
+    taken. So a round without one has all its articles among fewer than `cap`, and of rounds with the same articles (as a set) no more than there are articles
+    get one: of each set that many are kept, and those of sets beyond `cap` articles always get one. What `_first_placed` holds is bounded by `cap`.
     """
     week = articles.where((F.col("event_at") >= F.lit(start)) & (F.col("event_at") < F.lit(end)))
     own = rounds.where((F.col("announced_at") >= F.lit(start)) & (F.col("announced_at") < F.lit(end)) & F.col("confidence").isin("high", "medium"))
     known = articles.select(F.col("doc_id").cast("string").alias("doc_id"))
     links = own.select("_id", "amount_usd", "company", money.round_summary().alias("round_summary"), F.posexplode("source_doc_ids").alias("at", "doc_id")).join(known, "doc_id")
     few = links.groupBy("_id", "amount_usd", "company", "round_summary").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-
-    def replay(pdf):
-        import pandas as pd
-
-        taken, out = set(), []
-        for r in pdf.sort_values(["amount_usd", "company", "_id"], ascending=[False, True, True], na_position="last").itertuples():
-            doc = next((d for d in r.ids if d not in taken), None)
-            if doc is not None:
-                taken.add(doc)
-                out.append((doc, r.round_summary, float(r.amount_usd) if r.amount_usd == r.amount_usd and r.amount_usd is not None else 0.0, len(out) + 1))
-        return pd.DataFrame(out, columns=["doc_id", "round_summary", "round_amount_usd", "pos"])
-
-    # one group: a week's rounds with an article, which are few
-    placed = few.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(replay, "doc_id string, round_summary string, round_amount_usd double, pos int")
+    placed = _first_placed(few, cap)
     first = articles.drop("round_summary").withColumn("doc_id", F.col("doc_id").cast("string")).join(F.broadcast(placed), "doc_id").drop("round_amount_usd")
     rest = week.drop("round_summary").withColumn("doc_id", F.col("doc_id").cast("string")).where(money.is_funding_title("title")).join(F.broadcast(placed.select("doc_id")), "doc_id", "left_anti")
     rest = first_k(rest, cap, F.desc("event_at"), F.coalesce("title", F.lit("")), "doc_id").withColumn("pos", F.col("pos") + 1_000_000).withColumn("round_summary", F.lit(None).cast("string"))
     return first_k(first.unionByName(rest), cap, "pos")
 
 
+def _first_placed(few: DataFrame, cap: int) -> DataFrame:
+    """(doc_id, round_summary, round_amount_usd, pos): the first `cap` rounds (_id, amount_usd, company, round_summary, ids) that get an article, in order.
+
+    Each takes the first of its ids that is not taken. Tasks replay their own sorted rows first, which drops what can't count in any order of the whole;
+    one task replays what they leave.
+    """
+    order = (F.when(F.isnan("amount_usd"), None).otherwise(F.col("amount_usd")).desc_nulls_last(), F.asc_nulls_last("company"), F.asc_nulls_last("_id"))
+    row = few.schema
+
+    def cut(batches):
+        """Of sorted rows those that may count: of a set of articles as many as it has (`cap` at most), until `cap` rounds are placed."""
+        seen, taken = {}, set()
+        for b in batches:
+            keep = []
+            for i, ids in enumerate(b.column("ids").to_pylist() if len(taken) < cap else ()):
+                if len(taken) >= cap:
+                    break
+                same = frozenset(ids)
+                if seen.get(same, 0) >= len(same):
+                    continue
+                seen[same] = seen.get(same, 0) + 1
+                keep.append(i)
+                doc = next((d for d in ids if d not in taken), None)
+                if doc is not None:
+                    taken.add(doc)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    def replay(batches):
+        taken, out = set(), []
+        for b in batches:
+            for r in b.to_pylist():
+                doc = next((d for d in r["ids"] if d not in taken), None)
+                if doc is not None and len(out) < cap:
+                    taken.add(doc)
+                    usd = r["amount_usd"]
+                    out.append({"doc_id": doc, "round_summary": r["round_summary"], "round_amount_usd": float(usd) if usd is not None and usd == usd else 0.0, "pos": len(out) + 1})
+        schema = pa.schema([("doc_id", pa.string()), ("round_summary", pa.string()), ("round_amount_usd", pa.float64()), ("pos", pa.int32())])
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    left = few.sortWithinPartitions(*order).mapInArrow(cut, row)
+    return left.repartition(1).sortWithinPartitions(*order).mapInArrow(replay, "doc_id string, round_summary string, round_amount_usd double, pos int")
+
+
 def select_week(docs: DataFrame, rounds: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """The week's documents with section and n, the citation number across sections. Needs the fields of all types."""
     week = docs.where((F.col("event_at") >= F.lit(start)) & (F.col("event_at") < F.lit(end))).withColumn("doc_id", F.col("doc_id").cast("string"))

@@ -393,3 +393,23 @@ def test_kept_rounds_are_found_by_cells(spark):
     assert 100 < plain.count(None) < 1400 and len(kept.rows) == plain.count(None)
     far = funding.merge(rounds_of(spark, {"announced_at": datetime(1970, 1, 1)}, {"announced_at": datetime(1970, 3, 1)}))
     assert far.count() == 2
+
+
+def test_placed_rounds_equal_a_replay_of_all(spark):
+    """Articles that many rounds share, sets of them in any order, rows in many partitions."""
+    for seed, cap in ((1, 10), (2, 4), (3, 10), (4, 60)):
+        rng = random.Random(seed)
+        rows = [(f"r{i}", rng.choice([None, float("nan"), *map(float, range(40))]), rng.choice(["a", "b", None]), "s", [f"d{rng.randrange(15)}" for _ in range(rng.randrange(1, 4))] if rng.random() < 0.9 or seed == 3 else [f"own{i}"]) for i in range(600)]
+        few = spark.createDataFrame(rows, "_id string, amount_usd double, company string, round_summary string, ids array<string>").repartition(5)
+        taken, want = set(), []
+        known = lambda x: x is not None and x == x
+        for id_, usd, company, _, ids in sorted(rows, key=lambda r: (not known(r[1]), -r[1] if known(r[1]) else 0, r[2] is None, r[2] or "", r[0])):
+            doc = next((d for d in ids if d not in taken), None)
+            if doc is not None and len(want) < cap:
+                taken.add(doc)
+                want.append((doc, len(want) + 1, usd if known(usd) else 0.0))
+        got = digest._first_placed(few, cap)
+        assert sorted((r["doc_id"], r["pos"], r["round_amount_usd"]) for r in got.collect()) == sorted(want)
+    # what reaches the last task doesn't grow with the rounds
+    many = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("_id"), F.col("id").cast("double").alias("amount_usd"), F.lit("c").alias("company"), F.lit("s").alias("round_summary"), F.array(F.concat(F.lit("d"), F.col("id") % 7)).alias("ids"))
+    assert digest._first_placed(many, 10).count() == 7
