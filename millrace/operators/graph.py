@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEGREE, SHOWN = 25, 8
@@ -10,18 +13,27 @@ MAX_DEGREE, SHOWN = 25, 8
 DIGITS = 9
 
 
+def _distinct_at_least(c: str, about: int) -> Column:
+    """An aggregate that is never above the number of distinct values: the bits that their hashes set, of two or more for each of `about` values."""
+    words = about // 32 + 1
+    place = F.pmod(F.xxhash64(c), F.lit(64 * words))
+    bits = [F.bit_count(F.coalesce(F.bit_or(F.when(F.floor(place / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")))), F.lit(0).cast("long"))) for w in range(words)]
+    return reduce(add, bits)
+
+
 def expand(edges: DataFrame, seeds: DataFrame, n_docs: DataFrame, top_k: int = 20, max_degree: int = MAX_DEGREE, kind: str | None = None) -> DataFrame:
     """(doc_id, score, shared): neighbours of the seeds by the rarity of shared entities.
 
     `edges` is (doc_id, entity_id, entity_text, [type]), `seeds` (doc_id), `n_docs` one row (n).
-    Entities of one document, or of more than `max_degree`, don't count: hubs go before the
-    second join, which keeps it small. Ties go to the smaller doc_id.
+    Entities of one document, or of more than `max_degree`, don't count: nearly all hubs go where their edges are read, by
+    a bound that a few bits an entity give, and the others by their exact degree. What is broadcast are entities of the seeds. Ties go to the smaller doc_id.
     """
     kept = [c for c in ("type",) if c in edges.columns]
-    edges = edges.dropDuplicates(["doc_id", "entity_id"])
     seeds = F.broadcast(seeds.select("doc_id").distinct())
-    touched = edges.join(seeds, "doc_id", "left_semi").select("entity_id").distinct()
+    touched = F.broadcast(edges.join(seeds, "doc_id", "left_semi").select("entity_id").distinct())
     near = edges.join(touched, "entity_id", "left_semi")
+    few = F.broadcast(near.groupBy("entity_id").agg(_distinct_at_least("doc_id", max_degree).alias("least")).where(F.col("least") <= max_degree).select("entity_id"))
+    near = near.join(few, "entity_id", "left_semi").dropDuplicates(["doc_id", "entity_id"])
     degree = near.groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree").between(2, max_degree))
     weighed = near.join(degree, "entity_id").join(seeds, "doc_id", "left_anti").crossJoin(F.broadcast(n_docs))
     if kind is not None:

@@ -413,3 +413,13 @@ def test_placed_rounds_equal_a_replay_of_all(spark):
     # what reaches the last task doesn't grow with the rounds
     many = spark.range(20_000).select(F.concat(F.lit("r"), "id").alias("_id"), F.col("id").cast("double").alias("amount_usd"), F.lit("c").alias("company"), F.lit("s").alias("round_summary"), F.array(F.concat(F.lit("d"), F.col("id") % 7)).alias("ids"))
     assert digest._first_placed(many, 10).count() == 7
+
+
+def test_hubs_go_by_a_bound_that_repeats_do_not_raise(spark):
+    """An entity of 25 documents whose edges repeat counts, one of 26 does not, and the bound lies between half the degree and the degree."""
+    rows = [(d, e) for e, n in (("kept", 25), ("hub", 26), ("large", 400)) for d in range(n) for _ in range(3)]
+    edges = spark.createDataFrame(rows, "doc_id long, entity_id string").withColumn("entity_text", F.col("entity_id"))
+    bound = {r["entity_id"]: r["n"] for r in edges.groupBy("entity_id").agg(graph._distinct_at_least("doc_id", 25).alias("n")).collect()}
+    assert 12 < bound["kept"] <= 25 and bound["hub"] <= 26 and bound["large"] > 25
+    found = graph.expand(edges, spark.createDataFrame([(0,)], "doc_id long"), spark.range(1).select(F.lit(400).alias("n")), 50)
+    assert {r["doc_id"] for r in found.collect()} == set(range(1, 25)) and {x for r in found.collect() for x in r["shared"]} == {"kept"}
