@@ -55,8 +55,9 @@ def release(spark: SparkSession) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are written."""
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written, and gives the driver's free memory back."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()
 
 

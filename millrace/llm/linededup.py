@@ -17,6 +17,7 @@ documents are later copies. So doubling ends with the longest of these parts, wh
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, needs_integer_id, unused, with_counted
+from .common import clean, discard, keep, needs_integer_id, unused, with_counted
 
 MIN_WORDS = 50
 PLACE = ["o", "th"]
@@ -99,7 +100,9 @@ def _doubled(ranks: DataFrame, h: int) -> DataFrame:
         pairs.groupBy("r", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("r", "s").select("r", "s", "n", F.monotonically_increasing_id().alias("rank")),
         "order",
     )  # written, since ranks must not be drawn again if an executor is lost
-    return keep(with_counted(pairs, order, ["r", "s"], pairs.count(), HOT).select("o", "th", "i", F.col("rank").alias("r")), "ranks")
+    out = keep(with_counted(pairs, order, ["r", "s"], pairs.count(), HOT).select("o", "th", "i", F.col("rank").alias("r")), "ranks")
+    discard(pairs, order)
+    return out
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -107,9 +110,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = keep(line_ids(docs), "lines")
     several = keep(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     ranks = keep(with_counted(lines, several, ["id"], lines.count(), HOT).select("o", "th", "i", "w", F.col("id").alias("r")).dropDuplicates(["o", "th", "i"]), "repeated")
+    discard(lines, several)
     parts = keep(shortest_parts(ranks, min_words), "parts")
+    clean(docs.sparkSession)
     longest = parts.agg(F.max("m")).first()[0] or 0
-    ranks, found, h = ranks.drop("w"), None, 1
+    kept, found, h = [ranks], [], 1
+    ranks = ranks.drop("w")
     while h <= longest:
         own = parts.where(F.col("m").between(h, 2 * h - 1))
         named = own.join(ranks, ["o", "th", "i"])
@@ -118,14 +124,17 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             named = named.withColumn("_j", F.col("i") + F.col("m") - h).join(second, ["o", "th", "_j"]).drop("_j")
         else:
             named = named.withColumn("s", F.lit(0).cast("long"))
-        named = named.select("o", "th", "i", "m", "r", "s")
-        found = named if found is None else found.unionByName(named)
+        found.append(keep(named.select("o", "th", "i", "m", "r", "s"), "named"))
         if 2 * h <= longest:
             ranks = _doubled(ranks, h)
+            discard(kept.pop())  # ranks of h lines aren't read any more
+            kept.append(ranks)
         h *= 2
-    if found is None:
-        return parts.groupBy("o", "th").agg(F.collect_set("i").alias("lines"))
-    found = keep(found, "named")
+    discard(*kept)
+    if not found:
+        return keep(parts.groupBy("o", "th").agg(F.collect_set("i").alias("lines")), "later")
+    discard(parts)
+    named, found = found, reduce(DataFrame.unionByName, found)
     at = F.struct("o", "th", "i")
     first = keep(found.groupBy("m", "r", "s").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     later = with_counted(found, first, ["m", "r", "s"], found.count(), HOT).where(at > F.col("first"))
@@ -133,7 +142,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     same = (F.col("first.o") == F.col("o")) & (F.col("first.th") == F.col("th"))
     start, end = F.when(same, F.greatest(F.col("i"), F.col("first.i") + F.col("m"))).otherwise(F.col("i")), F.col("i") + F.col("m") - 1
     later = later.select("o", "th", start.alias("start"), end.alias("end")).where("start <= end")
-    return later.select("o", "th", F.explode(F.sequence("start", "end")).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    later = keep(later.select("o", "th", F.explode(F.sequence("start", "end")).alias("line")).groupBy("o", "th").agg(F.array_sort(F.collect_set("line")).alias("lines")), "later")
+    discard(first, *named)
+    clean(docs.sparkSession)
+    return later
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False, report: str | None = "removed") -> DataFrame:

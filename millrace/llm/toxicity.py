@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from .common import U64, forget, keep
+from .common import U64, clean, discard, forget, keep, unused
 
 #: Distinct labelled texts that are learned from at most (those of smallest text hash); all of the corpus is counted and scored.
 SAMPLE_ROWS = 2560
@@ -426,6 +426,7 @@ def _learned(docs: DataFrame, labels: DataFrame, training: str, sample_rows: int
 
     got = spark.range(0, FOLDS, 1, FOLDS).mapInArrow(cross, "vote double, share double").toArrow() if examples else pa.table({"vote": pa.array([], pa.float64()), "share": pa.array([], pa.float64())})
     shared.unpersist()
+    discard(sample)
     index = Index(examples, weights(FOLDS), unknown)
     return Model(vocabulary, index, *calibration(got.column("vote").to_numpy(), got.column("share").to_numpy(), index.base)), vectors
 
@@ -459,13 +460,19 @@ def score(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_r
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sample_rows: int = SAMPLE_ROWS, k: int = NEAREST, reject: float = REJECT) -> DataFrame:
     """docs without the rows that are predicted toxic; all columns stay. Rows are judged by their texts, so repeated ids are judged each."""
-    model, vectors = _learned(docs, labels, training, sample_rows, k, docs.columns)
+    (h,) = unused(docs, "__hash")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    model, vectors = _learned(hashed, labels, training, sample_rows, k, [h])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = sent.value.scorer(k)
         for b in _slices(batches):
-            clean = pa.array([x[0] < reject for x in _judged(b, judge)], pa.bool_())
-            yield b.select(["row"]).filter(clean)
-
-    return vectors.mapInArrow(run, vectors.select("row").schema).select("row.*")
+            toxic = pa.array([x[0] >= reject for x in _judged(b, judge)], pa.bool_())
+            yield b.select(["row"]).filter(toxic)
+
+    gone = keep(vectors.mapInArrow(run, vectors.select("row").schema).select("row.*").distinct(), "toxic")
+    discard(vectors)  # only the rejected texts' hashes stay
+    sent.unpersist()
+    clean(docs.sparkSession)
+    return hashed.join(gone, h, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
