@@ -117,6 +117,16 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_keys), np.concatenate(out_rows)
 
 
+def nearest(fp: np.ndarray) -> np.ndarray:
+    """The indices of the codewords nearest to each fingerprint's segments, as one number of 36 bits."""
+    patterns, _ = golay()
+    out = np.zeros(len(fp), U64)
+    for low, width in SEGMENTS:
+        part = ((fp >> U64(low)) & U64((1 << width) - 1)).astype(np.int64)
+        out = out << U64(12) | ((part ^ patterns[syndrome(part)][:, 0]) >> 11).astype(U64)
+    return out
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links between values, as many as connect the same values."""
     if not len(a):

@@ -1,12 +1,14 @@
 """The corpus pipeline on a small corpus, against what was planted in it."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 
-from millrace.llm import packing, simhash
+from millrace.llm import minhash, packing, simhash
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +115,40 @@ def test_planted_near_copies_go_as_brute_force_says(spark, monkeypatch, small):
     assert far > 20 and len(want) < len(rows) - 40 and got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want.values())
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_candidates_share_golay_keys_of_simhash_fingerprints():
+    """A key is the codewords nearest to a sample's fingerprint, whose bits are those of over half of its hashes."""
+    from millrace.llm import common, jaccard
+
+    rng = np.random.default_rng(9)
+    whole = np.unique(rng.integers(0, 2**64, 900, np.uint64, endpoint=False))
+    likes = [np.sort(rng.permutation(whole)[:800]) for _ in range(2)]  # a likeness of about 0.8
+    samples = np.array([minhash.least_of(x, jaccard.BANDS * jaccard.WIDTH) for x in likes], np.uint64).reshape(-1, jaccard.WIDTH)
+    fps = jaccard.fingerprints(samples)
+    for own, fp in zip(common.mix(samples).tolist(), fps.tolist(), strict=True):
+        assert fp == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in own) > len(own))
+    a, b = jaccard.band_keys(likes)
+    assert 3 <= (a == b).sum() < jaccard.BANDS and len(set(a.tolist())) == jaccard.BANDS
+    words = np.array([w for w in range(1 << 16) if not simhash.syndrome(np.array([w]))[0]], np.int64)  # codewords that fit a segment of 21 bits
+    for _ in range(20):
+        fp, near = 0, 0
+        for low, width in simhash.SEGMENTS:
+            word = int(rng.choice(words))
+            flipped = sum(1 << int(i) for i in rng.choice(width, 3, replace=False))
+            fp, near = fp | word << low, near | (word ^ flipped) << low
+        assert simhash.nearest(np.array([fp], np.uint64)) == simhash.nearest(np.array([near], np.uint64))
+
+
+def test_stages_delete_what_their_result_does_not_read(spark, corpus):
+    """Vectors, lines, and shingles take more room than the texts; they must not lie on disk while later stages run."""
+    from millrace.llm import common
+
+    folder, *_ = corpus
+    at = common.shared_dir(spark).removeprefix("file:")
+    seen = set(os.listdir(at)) if os.path.isdir(at) else set()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    assert docs.count() > 200
+    assert sorted(x.split("-")[0] for x in set(os.listdir(at)) - seen) == ["gone", "later", "near", "toxic"]
