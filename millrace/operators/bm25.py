@@ -7,12 +7,16 @@ to what filters allow, and only then cut to the best.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import STOPWORDS, TOKEN, tokenize
 from .store import keep
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -30,16 +34,49 @@ class Index:
     TABLES = ("postings", "lengths", "terms", "corpus")
 
 
+def _counted(docs: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """(term, doc_id, [type], length, tf, first): a row for each term of each row of docs, one without a term if it has none; one of its rows is the first.
+
+    A row's tokens, those of functions.text.tokenize, are counted where the row is read, so that nothing is shuffled by document.
+    """
+    ids = ["doc_id", *kept]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, stop = re.compile(TOKEN).findall, frozenset(STOPWORDS)
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            at, terms, times, lengths, first = [], [], [], [], []
+            for row, lowered in enumerate(b.column("lowered").to_pylist()):
+                own: dict[str, int] = {}
+                for token, n in Counter(found(lowered)).items():
+                    if token not in stop and len(term := token.strip(".-")) > 1:
+                        own[term] = own.get(term, 0) + n
+                size = len(own) or 1
+                at += [row] * size
+                terms += own or [None]
+                times += own.values() or [0]
+                lengths += [sum(own.values())] * size
+                first += [True] + [False] * (size - 1)
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(terms, pa.string()), *(b.column(c).take(place) for c in ids), pa.array(lengths, pa.int32()), pa.array(times, pa.int64()), pa.array(first, pa.bool_())],
+                names=["term", *ids, "length", "tf", "first"],
+            )
+
+    rows = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(*ids, F.lower(F.col(text)).alias("lowered"))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids)
+    counted = rows.mapInArrow(count, f"term string, {kinds}, length int, tf long, first boolean")
+    if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return counted
+    return counted.groupBy("term", *ids, "length").agg(F.sum("tf").alias("tf"), F.max("first").alias("first"))  # equal rows are one document
+
+
 def build(docs: DataFrame, text: str = "text", written: bool = False) -> Index:
     """Index of (doc_id, text, [type]). Documents whose text is blank are left out; those without tokens count in n and the mean length.
 
     `written`: postings and lengths are stored first, so that no text is cut twice; without it an index is a plan.
     """
     kept = [c for c in ("type",) if c in docs.columns]
-    tokens = docs.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select("doc_id", *kept, tokenize(text).alias("tokens"))
-    # a text is cut into tokens once: its length goes with them, a document without tokens has a row without a term, and one row of each document is its first
-    each = tokens.select("doc_id", *kept, F.size("tokens").alias("length"), F.posexplode_outer("tokens").alias("pos", "term"))
-    counted = each.groupBy("term", "doc_id", *kept, "length").agg(F.count("term").alias("tf"), F.max(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("first"))
+    counted = _counted(docs, kept, text)
     if written:
         counted = keep(counted, "postings")
     postings = counted.where("term IS NOT NULL").select("term", "doc_id", "tf", "length")

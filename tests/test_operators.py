@@ -423,3 +423,19 @@ def test_hubs_go_by_a_bound_that_repeats_do_not_raise(spark):
     assert 12 < bound["kept"] <= 25 and bound["hub"] <= 26 and bound["large"] > 25
     found = graph.expand(edges, spark.createDataFrame([(0,)], "doc_id long"), spark.range(1).select(F.lit(400).alias("n")), 50)
     assert {r["doc_id"] for r in found.collect()} == set(range(1, 25)) and {x for r in found.collect() for x in r["shared"]} == {"kept"}
+
+
+def test_bm25_counts_tokens_where_rows_are_read(spark):
+    """Tokens aren't shuffled by document, and are those of tokenize(); rows with one id and length are one document."""
+    from millrace.functions.text import tokenize
+
+    texts = ["The C++ of node.js -- gpt-4... the. .a. A", "İstanbul Kelvin CAFÉ x1 x1 x.", "...", "  ", None, "one two two - three."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("type", F.lit("t"))
+    index = bm25.build(docs)
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    want = docs.where("trim(text) <> ''").select("doc_id", F.explode(tokenize("text")).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    assert sorted(map(tuple, index.postings.select("term", "doc_id", "tf").collect())) == sorted(map(tuple, want.collect()))
+    assert {r["doc_id"]: r["length"] for r in index.lengths.collect()} == {r[0]: r[1] for r in docs.where("trim(text) <> ''").select("doc_id", F.size(tokenize("text"))).collect()}
+    twice = bm25.build(docs.union(docs))
+    assert twice.corpus.first()["n"] == 4 and {r["tf"] for r in twice.postings.where("term = 'x1'").collect()} == {4}
