@@ -66,10 +66,13 @@ HOT = 2000
 
 
 def with_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, hot: int = HOT) -> DataFrame:
-    """rows joined with a counted table (keys, n, ...) of theirs; the rows of hot keys stay where they are, so that no task gets them all."""
+    """rows joined with a counted table (keys, n, ...) of theirs; the rows of hot keys stay where they are, so that no task gets them all.
+
+    All others are sorted and merged at every size: a table that is broadcast while it is small would hide what the join of a larger one shuffles.
+    """
     least = max(1, total // hot)
     many, few = counted.where(F.col("n") > least), counted.where(F.col("n") <= least)
-    return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
+    return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few.hint("merge"), keys))
 
 
 _REMEMBERED: dict[str, Callable[[], None]] = {}

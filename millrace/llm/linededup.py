@@ -118,10 +118,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranks = ranks.drop("w")
     while h <= longest:
         own = parts.where(F.col("m").between(h, 2 * h - 1))
-        named = own.join(ranks, ["o", "th", "i"])
+        named = own.hint("merge").join(ranks, PLACE + ["i"])
         if h > 1:
             second = ranks.select("o", "th", F.col("i").alias("_j"), F.col("r").alias("s"))
-            named = named.withColumn("_j", F.col("i") + F.col("m") - h).join(second, ["o", "th", "_j"]).drop("_j")
+            named = named.withColumn("_j", F.col("i") + F.col("m") - h).join(second.hint("merge"), PLACE + ["_j"]).drop("_j")
         else:
             named = named.withColumn("s", F.lit(0).cast("long"))
         found.append(keep(named.select("o", "th", "i", "m", "r", "s"), "named"))
@@ -162,7 +162,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
     """
     order, text, mark = unused(docs, "__order", "__hash", "__gone")
     gone = later_copies(docs.select("doc_id", "text"), min_words).select(F.col("o").alias(order), F.col("th").alias(text), F.col("lines").alias(mark))
-    joined = _placed(docs, order, text).join(gone, [order, text], "left")
+    joined = _placed(docs, order, text).join(gone.hint("merge"), [order, text], "left")  # at every size, see common.with_counted
     joined = joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce(mark, F.array().cast("array<int>")).alias(mark))
     place, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

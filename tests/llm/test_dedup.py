@@ -316,3 +316,15 @@ def test_sets_of_one_template_are_linked_as_by_brute_force(spark, monkeypatch, p
                 root = [low if r == high else r for r in root]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(frame(spark, texts), patience=patience).collect()}
     assert [got[i] for i in range(len(texts))] == root and 1 < len(set(root)) < len(texts)
+
+
+def test_small_tables_are_joined_like_large_ones(spark):
+    """A side that is broadcast while it is small would hide the shuffle of texts, or of lines, that a larger input needs."""
+    from millrace.llm.common import with_counted
+
+    line = " ".join(f"v{i}" for i in range(60))
+    texts = linededup.dedup_lines(frame(spark, [line, line, "other"]))
+    assert [r["removed"] for r in texts.orderBy("doc_id").collect()] == [[], [0], []]
+    rows, counted = spark.range(9).withColumnRenamed("id", "k"), spark.range(3).selectExpr("id AS k", "1L AS n")
+    for df in (texts, with_counted(rows, counted, ["k"], 9)):
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
