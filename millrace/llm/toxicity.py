@@ -475,4 +475,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, training: str = TRAINING, sam
     discard(vectors)  # only the rejected texts' hashes stay
     sent.unpersist()
     clean(docs.sparkSession)
-    return hashed.join(gone, h, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return hashed.join(gone.hint("merge"), h, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

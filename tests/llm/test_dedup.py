@@ -328,3 +328,30 @@ def test_small_tables_are_joined_like_large_ones(spark):
     rows, counted = spark.range(9).withColumnRenamed("id", "k"), spark.range(3).selectExpr("id AS k", "1L AS n")
     for df in (texts, with_counted(rows, counted, ["k"], 9)):
         assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_group_is_searched_whole_after_rounds_without_a_link(spark, monkeypatch):
+    """Sets that share a key but are not alike must not end the search for two that are, nor take a round for every few of them."""
+    from millrace.llm import jaccard
+    from millrace.llm.common import keep
+
+    monkeypatch.setattr(jaccard, "HUBS", 2)
+    monkeypatch.setattr(jaccard, "UNIT", 40, raising=False)  # several blocks and chunks
+    rng = np.random.default_rng(4)
+    items = [np.unique(rng.integers(0, 2**63, 50).astype(np.uint64)) for _ in range(299)]
+    items.append(np.unique(np.r_[items[298][:-2], rng.integers(0, 2**63, 2).astype(np.uint64)]))
+    large = keep(spark.createDataFrame([(7, 300, i, 50) for i in range(300)], "key long, n long, sid long, size long"), "large")
+    sets = keep(spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(items)], "sid long, items binary"), "items")
+    roots = keep(spark.createDataFrame([], "node long, root long"), "roots")
+    got = jaccard._more_roots(large, roots, sets, jaccard.LEAST, jaccard.PATIENCE)
+    assert [tuple(r) for r in got.collect()] == [(299, 298)]
+
+
+def test_common_items_are_counted_in_parts(monkeypatch):
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in sizes] for sizes in ((9, 40, 0, 3), (50, 1, 30)))
+    assert jaccard.common_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert jaccard.common_counts([], y).shape == (0, 3) and jaccard.common_counts(x[2:3], y).tolist() == [[0, 0, 0]]
